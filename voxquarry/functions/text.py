@@ -26,6 +26,11 @@ def _first_case(conditions: list[tuple[Column, Column]], default: Column) -> Col
     return out.otherwise(default)
 
 
+def strip(text: Column) -> Column:
+    """Drop leading and trailing whitespace of any kind."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def kw_first(text: Column, pairs: list[tuple[str, str]], default: str) -> Column:
     """Canonical value of the first dictionary keyword contained in ``lower(text)``."""
     low = F.lower(text)
@@ -149,7 +154,7 @@ def short_keyword(text: Column, words=vocab.SHORT_KEYWORDS, default: str | None
 
 
 def first_sentence(text: Column) -> Column:
-    return F.concat(F.trim(F.substring_index(text, ".", 1)), F.lit("."))
+    return F.concat(strip(F.substring_index(text, ".", 1)), F.lit("."))
 
 
 def words_of(text: Column) -> Column:
@@ -161,10 +166,10 @@ def shorten_text(text: Column, phrases=vocab.FILLER_PHRASES, max_chars: int = 80
     bare = F.regexp_replace(text, r"\([^)]*\)", "")
     for phrase in phrases:
         bare = F.replace(bare, F.lit(phrase), F.lit(""))
-    bare = F.trim(bare)
-    chunk = F.when(F.length(bare) > max_chars, F.trim(F.substring_index(bare, ",", 1))).otherwise(bare)
+    bare = strip(bare)
+    chunk = F.when(F.length(bare) > max_chars, strip(F.substring_index(bare, ",", 1))).otherwise(bare)
     words = words_of(chunk)
-    return F.trim(
+    return strip(
         F.when(F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")).otherwise(chunk)
     )
 
