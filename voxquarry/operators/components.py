@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .boxes import bbox2d_fixed
 from .voxels import SLICE, TARGET, VOXEL
 
@@ -105,6 +105,7 @@ def _labeller(reach: int):
 
 
 def _label_in_blocks(runs: DataFrame, depth: int, diagonal: bool) -> DataFrame:
+    ship_package(runs.sparkSession)
     packed = runs.withColumn("_block", F.floor(F.col("z") / depth)).groupBy(*TARGET, "_block").agg(
         F.collect_list(
             F.struct(

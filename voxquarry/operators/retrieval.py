@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, value_range
+from ..session import cut_lineage
 from .voxels import TARGET
 
 EXTENT = ["z_min", "z_max", "y_min", "x_min", "y_max", "x_max"]
@@ -85,23 +86,23 @@ def slot_similarity(prefix_a: str = "", prefix_b: str = "m_") -> Column:
 _FREE_SLOTS = ["anatomy", "finding_type", "target_form", "level", "count"]
 
 
-def _probe_keys(is_query: bool) -> Column:
-    """All slot patterns of a packet, as equi-join keys.
+def _with_patterns(packets: DataFrame, is_query: bool) -> DataFrame:
+    """One row per slot pattern of a packet; ``key`` is the equi-join key.
 
     A pattern fixes a subset of the slots; the side is fixed to a value or left
     open.  A query also probes side 'none', which costs it no penalty.
     """
-    sides = [F.concat(F.lit("side="), F.col("side")), F.lit("any")]
+    sides = [F.col("side"), F.lit("any")]
     if is_query:
-        sides.append(F.when(F.col("side") != "none", F.lit("side=none")))
-    keys = []
-    for bits in range(1 << len(_FREE_SLOTS)):
-        fixed = [s for i, s in enumerate(_FREE_SLOTS) if bits >> i & 1]
-        # An unknown level matches nothing, so patterns that fix it are skipped.
-        ok = (F.col("level") != "") if "level" in fixed else F.lit(True)
-        for side in sides:
-            keys.append(F.when(ok & side.isNotNull(), F.concat_ws("|", F.lit(str(bits)), side, *fixed)))
-    return F.array_compact(F.array(*keys))
+        sides.append(F.when(F.col("side") != "none", F.lit("none")))
+    fixed = {s: F.col("_bits").bitwiseAND(1 << i) != 0 for i, s in enumerate(_FREE_SLOTS)}
+    rows = packets.withColumn("_bits", F.explode(F.sequence(F.lit(0), F.lit((1 << len(_FREE_SLOTS)) - 1)))).where(
+        ~fixed["level"] | (F.col("level") != "")  # an unknown level matches nothing
+    )
+    rows = rows.withColumn("_side", F.explode(F.array_compact(F.array(*sides))))
+    slots = [F.when(on, F.col(s)).otherwise(F.lit("")) for s, on in fixed.items()]
+    key = F.concat_ws("|", F.col("_bits").cast("string"), F.col("_side"), *slots)
+    return rows.withColumn("key", key).drop("_bits", "_side")
 
 
 def slot_topk(queries: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
@@ -114,14 +115,14 @@ def slot_topk(queries: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
     """
     cand = _candidates(bank).select(*BANK_ORDER, "mask_id", *EXTENT, *SLOTS)
     # One level: rows of equal packets compete by bank order only.
-    cand = leave_one_out_shortlist(cand, SLOTS, _bank_order(), k)
-    index = cand.withColumn("key", F.explode(_probe_keys(False)))
+    cand = cut_lineage(leave_one_out_shortlist(cand, SLOTS, _bank_order(), k))
+    index = _with_patterns(cand, False)
     index = leave_one_out_shortlist(index, ["key"], _bank_order(), k).withColumnsRenamed(
         {s: f"m_{s}" for s in SLOTS}
     )
-    packets = queries.select(*SLOTS).distinct()
+    packets = cut_lineage(queries.select(*SLOTS).distinct())
     found = (
-        packets.withColumn("key", F.explode(_probe_keys(True)))
+        _with_patterns(packets, True)
         .join(index, "key")
         .drop("key")
         .dropDuplicates([*SLOTS, "case_id", "mask_id"])

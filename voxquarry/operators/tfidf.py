@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .retrieval import BANK_ORDER, EXTENT, _bank_order, _candidates, _pick, leave_one_out_shortlist
 from .voxels import TARGET
 
@@ -79,6 +80,11 @@ def _vectors(postings: DataFrame, out: str) -> DataFrame:
     )
 
 
+# Scores keep this many digits, so that equal scores tie (and fall back to bank
+# order) no matter in which order the products were added.
+SCORE_DIGITS = 9
+
+
 def _exact_scores(pairs: DataFrame, query_vec: DataFrame, bank_vec: DataFrame) -> DataFrame:
     """Append the full dot product of the two sparse vectors of every pair."""
     j = pairs.join(query_vec, "q_key").join(bank_vec, "text_key")
@@ -87,7 +93,7 @@ def _exact_scores(pairs: DataFrame, query_vec: DataFrame, bank_vec: DataFrame) -
         F.lit(0.0),
         lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("b_vec", e["key"]), F.lit(0.0)),
     )
-    return j.select("q_key", "text_key", score.alias("score"))
+    return j.select("q_key", "text_key", F.round(score, SCORE_DIGITS).alias("score"))
 
 
 def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: int = 3, max_features: int = 5000) -> DataFrame:
@@ -97,11 +103,12 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     Queries that share terms with fewer than k rows are filled in bank order
     with score 0.
     """
-    postings = tfidf_postings(bank, stop_words, max_features)
+    # The index and the shortlisted bank are read several times: store them once.
+    postings = cut_lineage(tfidf_postings(bank, stop_words, max_features))
     entries = _candidates(bank).select(
         *BANK_ORDER, "mask_id", *EXTENT, text_key(F.col("text")).alias("text_key")
     )
-    entries = leave_one_out_shortlist(entries, ["text_key"], _bank_order(), k)
+    entries = cut_lineage(leave_one_out_shortlist(entries, ["text_key"], _bank_order(), 2 * k))
     b_post = postings.join(entries.select("text_key").distinct(), "text_key", "left_semi")
     q_rows = queries.select(*TARGET, text_key(F.col("text")).alias("q_key"))
     # Queries are bank rows too, so their vectors are in the index.
@@ -130,7 +137,7 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
         .withColumn("bound", F.col("weight") * F.col("best"))
         .withColumn("reach", F.sum("bound").over(weakest_first))
         .join(floor, "q_key", "left")
-        .where(F.col("reach") * (1 + 1e-9) >= F.coalesce("floor", F.lit(0.0)))
+        .where(F.col("reach") + 10.0 ** (1 - SCORE_DIGITS) >= F.coalesce("floor", F.lit(0.0)))
         .select("q_key", "term")
     )
     pairs = essential.join(b_post.select("term", "text_key"), "term").select("q_key", "text_key").distinct()
@@ -139,9 +146,8 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     )
 
     # Fill-ups: the first bank rows in order; 2k per case and 4k in all always suffice.
-    head = leave_one_out_shortlist(
-        _candidates(bank).select(*BANK_ORDER, "mask_id", *EXTENT), [], _bank_order(), 2 * k
-    )
+    # The shortlist per text was cut for 2k, so the overall head is inside it.
+    head = leave_one_out_shortlist(entries.drop("text_key"), [], _bank_order(), 2 * k)
     fillers = head.agg(
         F.collect_list(
             F.struct(

@@ -100,6 +100,9 @@ def ctes(sql: str) -> str:
 TABLES = ["lineitem", "documents", "events", "orders", "embeddings", "labels", "customer"]
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 class Data:
     """The supplied tables and the views above, as DataFrames of one session."""
 
@@ -107,7 +110,10 @@ class Data:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, text: str) -> DataFrame:
         full = ctes(text)

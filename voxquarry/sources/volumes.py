@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship_package
+
 SLICE_SCHEMA = "case_id string, z int, h int, w int, px array<float>"
 VOXEL_SCHEMA = "case_id string, mask_id int, z int, y int, x int"
 
@@ -123,5 +125,6 @@ class NpyVolumeSource(DataSource):
 
 def volume_ingest(spark, root: str, kind: str = "ct", emit: str = "slices"):
     """Slices of intensity volumes, or labelled voxels of mask volumes."""
+    ship_package(spark)
     spark.dataSource.register(NpyVolumeSource)
     return spark.read.format("npy_volume").option("path", root).option("kind", kind).option("emit", emit).load()
