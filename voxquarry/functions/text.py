@@ -26,6 +26,11 @@ def _first_case(conditions: list[tuple[Column, Column]], default: Column) -> Col
     return out.otherwise(default)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -166,12 +171,15 @@ def shorten_text(text: Column, phrases=vocab.FILLER_PHRASES, max_chars: int = 80
     bare = F.regexp_replace(text, r"\([^)]*\)", "")
     for phrase in phrases:
         bare = F.replace(bare, F.lit(phrase), F.lit(""))
-    bare = strip(bare)
-    chunk = F.when(F.length(bare) > max_chars, strip(F.substring_index(bare, ",", 1))).otherwise(bare)
-    words = words_of(chunk)
-    return strip(
-        F.when(F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")).otherwise(chunk)
-    )
+    def head(words: Column, whole: Column) -> Column:
+        return strip(
+            F.when(F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")).otherwise(whole)
+        )
+
+    def first_chunk(t: Column) -> Column:
+        return F.when(F.length(t) > max_chars, strip(F.substring_index(t, ",", 1))).otherwise(t)
+
+    return let(strip(bare), lambda t: let(first_chunk(t), lambda c: let(words_of(c), lambda w: head(w, c))))
 
 
 def anatomy_keyword(text: Column, terms=vocab.ANATOMY_TERMS, fallback_words: int = 5) -> Column:
