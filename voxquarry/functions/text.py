@@ -33,7 +33,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def kw_first(text: Column, pairs: list[tuple[str, str]], default: str) -> Column:
@@ -162,9 +162,13 @@ def first_sentence(text: Column) -> Column:
     return F.concat(strip(F.substring_index(text, ".", 1)), F.lit("."))
 
 
-def words_of(text: Column) -> Column:
-    """Words separated by whitespace runs, without empty leading or trailing ones."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` whitespace-separated words, and one more piece if there are further ones.
+
+    The split stops after them (a leading blank piece is allowed for), so a
+    long text is not cut into all its words.
+    """
+    return F.filter(F.split(text, r"\s+", n + 2), lambda w: w != "")
 
 
 def shorten_text(text: Column, phrases=vocab.FILLER_PHRASES, max_chars: int = 80, max_words: int = 15) -> Column:
@@ -179,7 +183,7 @@ def shorten_text(text: Column, phrases=vocab.FILLER_PHRASES, max_chars: int = 80
     def first_chunk(t: Column) -> Column:
         return F.when(F.length(t) > max_chars, strip(F.substring_index(t, ",", 1))).otherwise(t)
 
-    return let(strip(bare), lambda t: let(first_chunk(t), lambda c: let(words_of(c), lambda w: head(w, c))))
+    return let(strip(bare), lambda t: let(first_chunk(t), lambda c: let(first_words(c, max_words), lambda w: head(w, c))))
 
 
 def anatomy_keyword(text: Column, terms=vocab.ANATOMY_TERMS, fallback_words: int = 5) -> Column:
@@ -188,7 +192,7 @@ def anatomy_keyword(text: Column, terms=vocab.ANATOMY_TERMS, fallback_words: int
     by_length = sorted(terms, key=lambda t: -len(t))
     return _first_case(
         [(F.contains(low, F.lit(t)), F.lit(t)) for t in by_length],
-        F.array_join(F.slice(words_of(text), 1, fallback_words), " "),
+        F.array_join(F.slice(first_words(text, fallback_words), 1, fallback_words), " "),
     )
 
 

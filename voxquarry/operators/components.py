@@ -2,7 +2,8 @@
 
 1. Voxels become horizontal runs (one window over single image rows).
 2. Runs of one block - a slice, or ``BLOCK`` slices of one mask - are labelled
-   together inside an Arrow batch.  A block is bounded by its pixel count.
+   together inside an Arrow batch.  A block is bounded by its pixel count
+   (at most BLOCK * H * W / 2 runs); lower ``block`` for very large frames.
 3. For 3-D, labels of neighbouring blocks that touch are edges; they are
    contracted by alternating large-star and small-star joins, which need
    O(log) rounds and never gather a volume in one task.
@@ -19,11 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_and_measure, cut_lineage, ship_package
 from .boxes import bbox2d_fixed
 from .voxels import SLICE, TARGET, VOXEL
 
-BLOCK = 8
+BLOCK = 16
 Z_SHIFT, Y_SHIFT = 40, 20  # coordinates stay below 2**20
 _RUN_ARRAY = "array<struct<z:bigint,y:bigint,a:bigint,b:bigint>>"
 
@@ -151,16 +152,13 @@ def _star_roots(edges: DataFrame) -> DataFrame:
         moved = e.join(low, [*TARGET, "hi"]).select(*TARGET, F.col("lo").alias("hi"), F.col("m").alias("lo"))
         return ordered(moved.union(low.select(*TARGET, "hi", F.col("m").alias("lo"))))
 
-    def state(e: DataFrame):
-        return e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64(*TARGET, "hi", "lo").cast("decimal(38,0)"))
-        ).first()
+    def stored(e: DataFrame) -> tuple[DataFrame, dict]:
+        digest = F.sum(F.xxhash64(*TARGET, "hi", "lo").cast("decimal(38,0)"))
+        return cut_and_measure(e, edges=F.count(F.lit(1)), digest=digest)
 
-    edges = cut_lineage(ordered(edges))
-    before = state(edges)
-    while before[0]:
-        edges = cut_lineage(small_star(large_star(edges)))
-        after = state(edges)
+    edges, before = stored(ordered(edges))
+    while before["edges"]:
+        edges, after = stored(small_star(large_star(edges)))
         if after == before:
             break
         before = after

@@ -4,7 +4,9 @@ Texts are indexed once per distinct text.  Retrieval never forms all pairs of
 documents that share a term: a first pass over the strongest entries of every
 list gives each query a score it is sure to reach, and terms whose summed best
 contribution stays below that score cannot bring in a new document.  Only the
-other ("essential") terms are joined.  Nothing is dropped.
+other ("essential") terms are joined, and a pair is scored in full only if its
+partial sum plus the bound of the skipped terms can still reach that score.
+Both tests are bounds, so the result is exact.
 """
 
 from __future__ import annotations
@@ -132,15 +134,32 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     )
     ceiling = b_post.groupBy("term").agg(F.max("weight").alias("best"))
     weakest_first = Window.partitionBy("q_key").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    essential = (
+    slack = 10.0 ** (1 - SCORE_DIGITS)
+    bounded = (
         q_post.join(ceiling, "term")
         .withColumn("bound", F.col("weight") * F.col("best"))
         .withColumn("reach", F.sum("bound").over(weakest_first))
         .join(floor, "q_key", "left")
-        .where(F.col("reach") + 10.0 ** (1 - SCORE_DIGITS) >= F.coalesce("floor", F.lit(0.0)))
-        .select("q_key", "term")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .withColumn("essential", F.col("reach") + slack >= F.col("floor"))
+    )
+    # What the skipped terms can add at most: the reach of the last of them.
+    limits = bounded.groupBy("q_key").agg(
+        F.max("floor").alias("floor"),
+        F.coalesce(F.max(F.when(~F.col("essential"), F.col("reach"))), F.lit(0.0)).alias("rest"),
+    )
+    partial = (
+        bounded.where("essential")
+        .select("q_key", "term", F.col("weight").alias("qw"))
+        .join(b_post, "term")
+        .groupBy("q_key", "text_key")
+        .agg(F.sum(F.col("qw") * F.col("weight")).alias("partial"))
+    )
+    pairs = (
+        partial.join(limits, "q_key")
+        .where(F.col("partial") + F.col("rest") + slack >= F.col("floor"))
+        .select("q_key", "text_key")
     )
-    pairs = essential.join(b_post.select("term", "text_key"), "term").select("q_key", "text_key").distinct()
     hits = _pick(q_rows, shortlist(pairs), ["q_key"], k).select(
         *TARGET, "m_case_id", "m_mask_id", "m_pos", "score", *EXTENT
     )

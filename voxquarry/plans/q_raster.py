@@ -92,6 +92,12 @@ def _(d):
     return cc.components(d.dense)
 
 
+# Thin blocks: components are put together across block borders by contraction.
+@query("components_across_blocks", f"WITH {comp_sql('dense')} SELECT case_id, mask_id, z, y, x, label FROM comp")
+def _(d):
+    return cc.components(d.dense, block=4)
+
+
 @query("components_2d", f"WITH {comp_sql('dense', _FACE2)} SELECT case_id, mask_id, z, y, x, label FROM comp")
 def _(d):
     return cc.components(d.dense, dim=2)
