@@ -80,3 +80,24 @@ def test_batch_score(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "i int, v array<float>")
     got = batch_score(df, lambda: lambda b: b.sum(axis=1).astype(np.float64), "v", 2, batch_size=3)
     assert {r.i: r.score for r in got.collect()} == {i: i + 1.0 for i in range(10)}
+
+
+def test_progress_over_arriving_files(spark, tmp_path):
+    from voxquarry.streaming.progress import progress, result_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("mode,dice,pred_voxels\nraw,0.5,3\nraw,0.0,0\n")
+    stream = progress(result_stream(spark, str(folder), "mode string, dice double, pred_voxels int"), ["mode"])
+    q = (
+        stream.writeStream.outputMode("complete").format("memory").queryName("progress_rows")
+        .option("checkpointLocation", str(tmp_path / "ck")).start()
+    )
+    try:
+        q.processAllAvailable()
+        assert spark.table("progress_rows").first().asDict() == {"mode": "raw", "n": 2, "mean": 0.25, "empty": 1}
+        (folder / "b.csv").write_text("mode,dice,pred_voxels\nraw,1.0,9\n")
+        q.processAllAvailable()
+        assert spark.table("progress_rows").first().asDict() == {"mode": "raw", "n": 3, "mean": 0.5, "empty": 1}
+    finally:
+        q.stop()
