@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp
+from ..session import cut_lineage
+from .ordering import rank_within
 from .voxels import SLICE, TARGET
 
 
@@ -140,15 +142,10 @@ def focus_rank(saliency: DataFrame, h: int, w: int, coverage_above: float = 0.3)
             F.max("prob") * (F.lit(1.0) - F.count_if(F.col("prob") > coverage_above) / F.lit(float(h * w)))
         ).alias("focus")
     )
-    w_all = Window.partitionBy(*TARGET)
-    order = w_all.orderBy(F.col("focus").desc(), F.col("z"))
-    return (
-        per_slice.withColumns(
-            {"rank": F.row_number().over(order), "_n": F.count(F.lit(1)).over(w_all)}
-        )
-        .where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)))
-        .drop("_n")
-    )
+    per_slice = cut_lineage(per_slice.withColumn("_worst", -F.col("focus")))
+    half = per_slice.groupBy(*TARGET).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias("_keep"))
+    ranked = rank_within(per_slice, TARGET, ["_worst", "z"])
+    return ranked.join(half, TARGET).where(F.col("rank") <= F.col("_keep")).drop("_worst", "_keep")
 
 
 def slice_gate(boxes: DataFrame, slice_prob: DataFrame, threshold: float | Column) -> DataFrame:

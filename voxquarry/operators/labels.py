@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boxes import box3d_half_open
-from .components import component_count
+from .components import component_runs
 from .voxels import SLICE, TARGET
 
 
@@ -15,12 +14,22 @@ def aux_labels(voxels: DataFrame, targets: DataFrame, d: int, h: int, w: int) ->
 
     Boxes are half-open fractions; a target without voxels gets zeros.
     """
-    box = box3d_half_open(voxels, d, h, w)
-    count = voxels.groupBy(*TARGET).agg(
-        F.count(F.lit(1)).alias("voxels"), F.collect_set(F.col("z").cast("int")).alias("zs")
-    )  # the set holds at most d slice numbers
-    cc = component_count(voxels)
-    joined = targets.join(box, TARGET, "left").join(count, TARGET, "left").join(cc, TARGET, "left")
+    runs = component_runs(voxels)
+    n = F.col("x1") - F.col("x0") + 1
+    total = F.sum(n)
+    # One pass over the labelled runs; the set holds at most d slice numbers.
+    stats = runs.groupBy(*TARGET).agg(
+        total.alias("voxels"),
+        F.count_distinct("label").alias("component_count"),
+        F.collect_set(F.col("z").cast("int")).alias("zs"),
+        (F.min("z") / F.lit(float(d))).alias("z1"), ((F.max("z") + 1) / F.lit(float(d))).alias("z2"),
+        (F.min("y") / F.lit(float(h))).alias("y1"), ((F.max("y") + 1) / F.lit(float(h))).alias("y2"),
+        (F.min("x0") / F.lit(float(w))).alias("x1"), ((F.max("x1") + 1) / F.lit(float(w))).alias("x2"),
+        (F.sum(F.col("z") * n) / total / F.lit(float(d))).alias("cz"),
+        (F.sum(F.col("y") * n) / total / F.lit(float(h))).alias("cy"),
+        (F.sum((F.col("x0") + F.col("x1")) * n) / total / F.lit(2.0 * w)).alias("cx"),
+    )
+    joined = targets.join(stats, TARGET, "left")
     zero = F.lit(0.0)
     floats = ["z1", "y1", "x1", "z2", "y2", "x2", "cz", "cy", "cx"]
     return joined.select(

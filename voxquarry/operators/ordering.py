@@ -33,39 +33,57 @@ def order_bucket(df: DataFrame, order_cols: list[str], buckets: int = BUCKETS) -
     )
 
 
-def prefix_sums(
+_MERGE = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+}
+
+
+def running(
     df: DataFrame,
+    keys: list[str],
     order_cols: list[str],
-    sums: dict[str, Column],
+    values: dict[str, tuple[str, Column]],
     *,
+    exclusive: bool = False,
     bucket: Column | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Append inclusive running sums in the order of ``order_cols`` (a unique key).
+    """Append running sums or maxima per key, in the order of ``order_cols``.
+
+    ``values`` maps a new column to ("sum" | "max", input); ``exclusive`` leaves
+    the row itself out.  Keys with order columns identify a row, keys are not
+    NULL.  A key of any size is spread over its buckets.
 
     The input is read three times (cuts, totals, rows): pass a stored table, or
-    cut the lineage of an expensive one first.
-    Pass ``bucket`` when the key already offers an order-preserving prefix.
+    cut the lineage of an expensive one first.  Pass ``bucket`` when the order
+    already offers an order-preserving prefix.
     """
-    base = order_bucket(df, order_cols, buckets) if bucket is None else df.withColumn("_bucket", bucket)
-    base = base.withColumns({f"_v_{name}": value for name, value in sums.items()})
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = base.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    # At most `buckets` rows (or the prefixes of `bucket`): one small task, small broadcast.
-    offsets = totals.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    base = order_bucket(df, [*keys, *order_cols], buckets) if bucket is None else df.withColumn("_bucket", bucket)
+    base = base.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    at = [*keys, "_bucket"]
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy(*at).agg(*[_MERGE[f][0](f"_v_{n}").alias(f"_t_{n}") for n, (f, _) in values.items()])
+    offsets = totals.select(*at, *[_MERGE[f][0](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (f, _) in values.items()])
+    if not keys:
+        offsets = F.broadcast(offsets)  # one row per bucket
+    upto = Window.partitionBy(*at).orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0
     )
-    upto = (
-        Window.partitionBy("_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = base.join(offsets, at).withColumns(
+        {n: _MERGE[f][1](F.col(f"_o_{n}"), _MERGE[f][0](f"_v_{n}").over(upto)) for n, (f, _) in values.items()}
     )
-    out = base.join(F.broadcast(offsets), "_bucket")
-    out = out.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(upto) for n in sums})
-    return out.drop("_bucket", *[p + n for n in sums for p in ("_v_", "_o_")])
+    return out.drop("_bucket", *[p + n for n in values for p in ("_v_", "_o_")])
+
+
+def rank_within(df: DataFrame, keys: list[str], order_cols: list[str], out: str = "rank", **kw) -> DataFrame:
+    """Append the 1-based position inside the key; for cuts that no small constant bounds."""
+    return running(df, keys, order_cols, {out: ("sum", F.lit(1).cast("bigint"))}, **kw)
 
 
 def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank", **kw) -> DataFrame:
     """Append the 1-based position in the order of ``order_cols`` (a unique key)."""
-    return prefix_sums(df, order_cols, {out: F.lit(1).cast("bigint")}, **kw)
+    return rank_within(df, [], order_cols, out, **kw)
 
 
 def value_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,16 +105,11 @@ def quantiles(counted: DataFrame, keys: list[str], probs: dict[str, float], **kw
 
     Keys must not be NULL.
     """
-    ranked = prefix_sums(counted, [*keys, "value"], {"_cum": F.col("count")}, **kw)
-    # Groups lie one after the other in the global order: a group starts at its smallest rank.
-    span = ranked.groupBy(*keys).agg(
-        F.sum("count").alias("_total"), F.min(F.col("_cum") - F.col("count")).alias("_start")
-    )
+    ranked = running(counted, keys, ["value"], {"_cum": ("sum", F.col("count"))}, **kw)
+    total = counted.groupBy(*keys).agg(F.sum("count").alias("_total"))
     # Without keys the right side is one row.
-    joined = ranked.join(span, keys) if keys else ranked.join(F.broadcast(span), F.lit(True))
-    joined = joined.withColumn("_last", F.col("_cum") - F.col("_start") - 1).withColumn(
-        "_first", F.col("_last") - F.col("count") + 1
-    )
+    joined = ranked.join(total, keys) if keys else ranked.join(F.broadcast(total), F.lit(True))
+    joined = joined.withColumns({"_first": F.col("_cum") - F.col("count"), "_last": F.col("_cum") - 1})
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import prefix_sums, quantiles, value_table
+from .ordering import quantiles, running, value_table
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,31 +143,28 @@ def ceiling_retention(df: DataFrame, refined: str, oracle: str, keys: list[str]
 
 def running_summary(df: DataFrame, order_cols: list[str], metric: str = "dice", pred: str = "pred_voxels") -> DataFrame:
     """Running mean and running count of empty predictions in processing order."""
-    out = prefix_sums(
+    out = running(
         df,
+        [],
         order_cols,
         {
-            "_rows": F.lit(1).cast("bigint"),
-            "_sum": F.col(metric),
-            "running_empty": (F.col(pred) == 0).cast("bigint"),
+            "_rows": ("sum", F.lit(1).cast("bigint")),
+            "_sum": ("sum", F.col(metric)),
+            "running_empty": ("sum", (F.col(pred) == 0).cast("bigint")),
         },
     )
     return out.withColumn("running_mean", F.col("_sum") / F.col("_rows")).drop("_rows", "_sum")
 
 
 def best_epoch(history: DataFrame, metric: str, run: str = "run", epoch: str = "epoch") -> DataFrame:
-    """Best value so far and whether an epoch improved on all earlier ones.
-
-    A run has few epochs, so one window per run is small.
-    """
-    past = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(metric).over(past)
-    return history.withColumns(
+    """Best value so far and whether an epoch improved on all earlier ones."""
+    out = running(history, [run], [epoch], {"_past": ("max", F.col(metric))}, exclusive=True)
+    return out.withColumns(
         {
-            "improved": before.isNull() | (F.col(metric) > before),
-            "best_so_far": F.greatest(F.col(metric), before),
+            "improved": F.col("_past").isNull() | (F.col(metric) > F.col("_past")),
+            "best_so_far": F.greatest(F.col(metric), F.col("_past")),
         }
-    )
+    ).drop("_past")
 
 
 def robustness_report(df: DataFrame, base: str = "raw", metric: str = "dice") -> DataFrame:

@@ -6,10 +6,11 @@ and on every cluster size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_rank, prefix_sums
+from ..session import cut_lineage
+from .ordering import global_rank, rank_within
 from .voxels import TARGET
 
 
@@ -53,15 +54,14 @@ def random_case_split(cases: DataFrame, frac: float = 0.8, seed: int = 42) -> Da
 
 def negative_sample(index: DataFrame, ratio: int = 3, seed: int = 0) -> DataFrame:
     """All positive slices and up to max(ratio * positives, ratio) negatives per target."""
-    per = Window.partitionBy(*TARGET)
-    order = Window.partitionBy(*TARGET, "is_positive").orderBy("_h", "z")
-    n_pos = F.sum("is_positive").over(per)
-    return (
-        index.withColumn("_h", _hash_key(F.lit(seed), F.col("case_id"), F.col("mask_id"), F.col("z")))
-        .withColumns({"_quota": F.greatest(n_pos * ratio, F.lit(ratio)), "_r": F.row_number().over(order)})
-        .where((F.col("is_positive") == 1) | (F.col("_r") <= F.col("_quota")))
-        .drop("_h", "_quota", "_r")
+    h = _hash_key(F.lit(seed), F.col("case_id"), F.col("mask_id"), F.col("z"))
+    keyed = cut_lineage(index.withColumn("_h", h))
+    quota = keyed.groupBy(*TARGET).agg(
+        F.greatest(F.sum("is_positive") * ratio, F.lit(ratio)).alias("_quota")
     )
+    negatives = rank_within(keyed.where(F.col("is_positive") == 0), TARGET, ["_h", "z"], "_r")
+    kept = negatives.join(quota, TARGET).where(F.col("_r") <= F.col("_quota"))
+    return keyed.where(F.col("is_positive") == 1).drop("_h").unionByName(kept.drop("_h", "_r", "_quota"))
 
 
 def posneg_sample(
@@ -73,14 +73,12 @@ def posneg_sample(
     evaluation fails.  Sort by ``order_key`` for the shuffled order.
     """
     spark = index.sparkSession
-    n = index.count() if num_samples is None else num_samples
+    keyed = cut_lineage(index.select(*TARGET, "z", "is_positive"))
+    n = keyed.count() if num_samples is None else num_samples
     n_pos = round(n * ratio)
-    keyed = index.select(*TARGET, "z", "is_positive")
-    ranked = prefix_sums(keyed, ["is_positive", *TARGET, "z"], {"_r": F.lit(1).cast("bigint")})
-    sizes = keyed.agg(F.count_if(F.col("is_positive") == 1), F.count_if(F.col("is_positive") == 0))
-    pos, neg = sizes.toDF("p", "n").select("p").scalar(), sizes.toDF("p", "n").select("n").scalar()
-    # Negatives sort first, so the rank of a positive inside its class is shifted by their number.
-    ranked = ranked.withColumn("_r", F.when(F.col("is_positive") == 1, F.col("_r") - neg).otherwise(F.col("_r")) - 1)
+    ranked = rank_within(keyed, ["is_positive"], [*TARGET, "z"], "_r").withColumn("_r", F.col("_r") - 1)
+    sizes = keyed.agg(F.count_if(F.col("is_positive") == 1).alias("p"), F.count_if(F.col("is_positive") == 0).alias("n"))
+    pos, neg = sizes.select("p").scalar(), sizes.select("n").scalar()
     draw = spark.range(n).withColumnRenamed("id", "draw")
     is_pos = (F.col("draw") < n_pos).cast("int")
     class_size = F.when(

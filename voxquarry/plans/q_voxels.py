@@ -353,7 +353,7 @@ def _(d):
     "focus_rank",
     f"""WITH f AS (SELECT case_id, mask_id, z, max(prob) * (1 - count(*) FILTER (WHERE prob > 0.3) / {float(H * W)}) AS focus FROM vox GROUP BY case_id, mask_id, z),
         r AS (SELECT *, row_number() OVER (PARTITION BY case_id, mask_id ORDER BY round(focus, 9) DESC, z) AS rank, count(*) OVER (PARTITION BY case_id, mask_id) AS n FROM f)
-        SELECT case_id, mask_id, z, cast(rank AS int) AS rank, round(focus, 6) AS focus FROM r WHERE rank <= greatest(1, n // 2)""",
+        SELECT case_id, mask_id, z, rank, round(focus, 6) AS focus FROM r WHERE rank <= greatest(1, n // 2)""",
 )
 def _(d):
     return rounded(bx.focus_rank(d.vox, H, W))

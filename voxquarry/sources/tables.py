@@ -156,12 +156,7 @@ def results_rows(df: DataFrame) -> DataFrame:
 def results_write(df: DataFrame, path: str, tag: str = "") -> str:
     """One CSV folder per mode below ``path`` (suffixed with the tag); returns the path."""
     out = f"{path}_{tag}" if tag else path
-    (
-        results_rows(df)
-        .repartition("mode", F.pmod(F.xxhash64("case_id"), F.lit(16)))
-        .write.mode("overwrite").partitionBy("mode")
-        .csv(out, header=True, quote='"', escape='"')
-    )
+    results_rows(df).write.mode("overwrite").partitionBy("mode").csv(out, header=True, quote='"', escape='"')
     return out
 
 
