@@ -106,9 +106,10 @@ def quantiles(counted: DataFrame, keys: list[str], probs: dict[str, float], **kw
     Keys must not be NULL.
     """
     ranked = running(counted, keys, ["value"], {"_cum": ("sum", F.col("count"))}, **kw)
-    total = counted.groupBy(*keys).agg(F.sum("count").alias("_total"))
-    # Without keys the right side is one row.
-    joined = ranked.join(total, keys) if keys else ranked.join(F.broadcast(total), F.lit(True))
+    if keys:
+        joined = ranked.join(counted.groupBy(*keys).agg(F.sum("count").alias("_total")), keys)
+    else:
+        joined = ranked.withColumn("_total", counted.agg(F.sum("count")).scalar())
     joined = joined.withColumns({"_first": F.col("_cum") - F.col("count"), "_last": F.col("_cum") - 1})
     aggs = []
     for name, p in probs.items():

@@ -9,8 +9,9 @@ from .ordering import quantiles, running, value_table
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    # Without keys both sides are a single row.
-    return left.join(right, keys) if keys else left.join(F.broadcast(right), F.lit(True))
+    if keys:
+        return left.join(right, keys)
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row each
 
 
 def result_summary(df: DataFrame, metric: str = "dice", keys: list[str] | None = None) -> DataFrame:

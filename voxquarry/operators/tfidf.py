@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .retrieval import BANK_ORDER, EXTENT, _bank_order, _candidates, _pick, leave_one_out_shortlist
 from .voxels import TARGET
 
@@ -82,9 +82,10 @@ def tfidf_index(docs: DataFrame, stop_words: list[str], max_features: int = 5000
     return keyed.join(tfidf_postings(docs, stop_words, max_features), "text_key").select(doc, "term", "weight")
 
 
-def _vectors(postings: DataFrame, out: str) -> DataFrame:
+def _vectors(postings: DataFrame) -> DataFrame:
+    """One sparse vector (term -> weight) per text; at most ``max_features`` entries."""
     return postings.groupBy("text_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(out)
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vec")
     )
 
 
@@ -95,7 +96,7 @@ SCORE_DIGITS = 9
 
 def _exact_scores(pairs: DataFrame, query_vec: DataFrame, bank_vec: DataFrame) -> DataFrame:
     """Append the full dot product of the two sparse vectors of every pair."""
-    j = pairs.join(query_vec, "q_key").join(bank_vec, "text_key")
+    j = spread(pairs, "q_key", "text_key").join(query_vec, "q_key").join(bank_vec, "text_key")
     score = F.aggregate(
         F.map_entries("q_vec"),
         F.lit(0.0),
@@ -111,20 +112,20 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     Queries that share terms with fewer than k rows are filled in bank order
     with score 0.
     """
-    # The index and the shortlisted bank are read several times: store them once.
-    postings = cut_lineage(tfidf_postings(bank, stop_words, max_features))
+    # Vectors and the shortlisted bank are read several times: store them once.
+    # Inverted lists are unfolded from the vectors, which needs no shuffle.
+    vectors = cut_lineage(_vectors(tfidf_postings(bank, stop_words, max_features)))
     entries = _candidates(bank).select(
         *BANK_ORDER, "mask_id", *EXTENT, text_key(F.col("text")).alias("text_key")
     )
     entries = cut_lineage(leave_one_out_shortlist(entries, ["text_key"], _bank_order(), 2 * k))
-    b_post = postings.join(entries.select("text_key").distinct(), "text_key", "left_semi")
     q_rows = queries.select(*TARGET, text_key(F.col("text")).alias("q_key"))
+    b_vec = cut_lineage(vectors.join(entries.select("text_key"), "text_key", "left_semi")).withColumnRenamed("vec", "b_vec")
     # Queries are bank rows too, so their vectors are in the index.
-    q_post = postings.withColumnRenamed("text_key", "q_key").join(
-        q_rows.select("q_key").distinct(), "q_key", "left_semi"
-    )
-    q_vec = _vectors(q_post.withColumnRenamed("q_key", "text_key"), "q_vec").withColumnRenamed("text_key", "q_key")
-    b_vec = _vectors(b_post, "b_vec")
+    q_vec = vectors.withColumnsRenamed({"text_key": "q_key", "vec": "q_vec"})
+    q_vec = cut_lineage(q_vec.join(q_rows, "q_key", "left_semi"))
+    b_post = b_vec.select("text_key", F.explode("b_vec").alias("term", "weight"))
+    q_post = q_vec.select("q_key", F.explode("q_vec").alias("term", "weight"))
 
     def shortlist(pairs: DataFrame) -> DataFrame:
         hits = _exact_scores(pairs, q_vec, b_vec).where(F.col("score") > 0).join(entries, "text_key")
@@ -168,8 +169,10 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
         .where(F.col("partial") + F.col("rest") + slack >= F.col("floor"))
         .select("q_key", "text_key")
     )
-    hits = _pick(q_rows, shortlist(pairs), ["q_key"], k).select(
-        *TARGET, "m_case_id", "m_mask_id", "m_pos", "score", *EXTENT
+    hits = cut_lineage(
+        _pick(q_rows, shortlist(pairs), ["q_key"], k).select(
+            *TARGET, "m_case_id", "m_mask_id", "m_pos", "score", *EXTENT
+        )
     )
 
     # Fill-ups: the first bank rows in order; 2k per case and 4k in all always suffice.

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import path_exists, scratch_path
+
 D, H, W = 16, 32, 32  # grid of one case
 DENSE = 16  # side of the folded frame
 SH, SW = 8, 8  # frame of one embedding read as a picture
@@ -72,11 +74,13 @@ def _used(sql: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
 
 
-def ctes(sql: str) -> str:
-    """Prefix a query with the definitions of the views it uses."""
+def ctes(sql: str, stored: frozenset[str] = frozenset()) -> str:
+    """Prefix a query with the definitions of the views it uses, ``stored`` ones excepted."""
     order: list[str] = []
 
     def add(name: str) -> None:
+        if name in stored:
+            return
         for dep in _used(VIEWS[name]):
             if dep != name:
                 add(dep)
@@ -100,7 +104,11 @@ def ctes(sql: str) -> str:
 TABLES = ["lineitem", "documents", "events", "orders", "embeddings", "labels", "customer"]
 
 
+# Views written once per application and folder, as annotation data would be stored.
+STORED = frozenset({"vox", "dense", "descr"})
+
 _SCHEMAS: dict[str, object] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 class Data:
@@ -110,19 +118,31 @@ class Data:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
+        return self._read(f"{self.sf_dir}/{name}.parquet")
+
+    def _read(self, path: str) -> DataFrame:
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
+    def _stored(self, view: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, view)
+        if key not in _PATHS or not path_exists(self.spark, _PATHS[key]):
+            path = scratch_path(self.spark, view)
+            self.sql(VIEWS[view]).write.parquet(path)
+            _PATHS[key] = path
+        return self._read(_PATHS[key])
+
     def sql(self, text: str) -> DataFrame:
-        full = ctes(text)
-        used = {t: self.table(t) for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", full)}
-        for t in used:
-            full = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", full)
+        full = ctes(text, STORED)
+        used = {}
+        for name in [*TABLES, *STORED]:
+            if re.search(rf"\b(FROM|JOIN)\s+{name}\b", full):
+                used[name] = self._stored(name) if name in STORED else self.table(name)
+                full = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", full)
         return self.spark.sql(full, **used)
 
     def __getattr__(self, view: str) -> DataFrame:
         if view not in VIEWS:
             raise AttributeError(view)
-        return self.sql(f"SELECT * FROM {view}")
+        return self._stored(view) if view in STORED else self.sql(VIEWS[view])

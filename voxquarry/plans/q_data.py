@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.vectors import unit
+from ..operators import boxes as bx
 from ..operators import labels as lb
 from ..operators import learning as ml
-from ..operators import retrieval as rt
 from ..operators import sampling as sp
 from ..operators import slices as sl
-from ..operators import voxels as vx
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import tables as tb
 from ..sources import volumes as vol
 from .fixtures import D, H, W
 from .q_raster import AUX, aux_of, comp_sql
-from .q_reports import SLICE_PRED, slice_pred
-from .q_text import BANK, bank_of, packets
 from .q_voxels import DUCK_PICTURE, FIXED_BOX, pictures
 from .registry import query, rounded
-from ..operators import boxes as bx
 
 T = ["case_id", "mask_id"]
 
@@ -33,14 +26,16 @@ T = ["case_id", "mask_id"]
 
 def write_case_files(d) -> str:
     """Write every labelled case as ``<root>/c<id>/mask.npy``; one task per case."""
+    ship_package(d.spark)
     root = scratch_path(d.spark, "cases")
 
     def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((1, D, H, W), dtype=np.float32)
         grid[0, pdf.z, pdf.y, pdf.x] = pdf.mask_id
-        folder = os.path.join(root, f"c{key[0]}")
-        os.makedirs(folder, exist_ok=True)
-        np.save(os.path.join(folder, "mask.npy"), grid)
+        fs, base = vol.open_filesystem(root)
+        fs.create_dir(f"{base}/c{key[0]}")
+        with fs.open_output_stream(f"{base}/c{key[0]}/mask.npy") as out:
+            np.save(out, grid)
         return pd.DataFrame({"n": [len(pdf)]})
 
     # A case is one dense grid of fixed size, so the group is bounded.

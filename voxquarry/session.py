@@ -49,6 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition rows whose processing is dear although their bytes are few.
+
+    Adaptive execution merges partitions by size; a fixed number of them
+    (``spark.sql.shuffle.partitions``) keeps all cores busy.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table lies at ``path`` on whatever file system it names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(conf).exists(done)
+
+
 _SHIPPED: set[str] = set()
 
 

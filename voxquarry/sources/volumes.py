@@ -25,7 +25,10 @@ class _Piece(InputPartition):
         self.paths, self.part, self.parts = paths, part, parts
 
 
-def _filesystem(root: str):
+def open_filesystem(root: str):
+    """File system of a path or URI, and the path inside it."""
+    if root.startswith("file:"):
+        root = "/" + root[len("file:"):].lstrip("/")
     return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
 
 
@@ -55,7 +58,7 @@ class NpyVolumeReader(DataSourceReader):
 
     def partitions(self):
         """Plan from the file listing alone: small files together, large ones split by z."""
-        fs, root = _filesystem(self.root)
+        fs, root = open_filesystem(self.root)
         infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted(
             (i.path, i.size) for i in infos if i.is_file and i.base_name == f"{self.kind}.npy"
@@ -76,7 +79,7 @@ class NpyVolumeReader(DataSourceReader):
         return pieces
 
     def read(self, piece: _Piece):
-        fs, _ = _filesystem(self.root)
+        fs, _ = open_filesystem(self.root)
         for path in piece.paths:
             case = path.rsplit("/", 2)[-2]
             with fs.open_input_file(path) as stream:
