@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import pair_features as _pair
 from ..functions.vectors import unit
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 
 def pair_features(df: DataFrame, img: str, txt: str, out: str = "features") -> DataFrame:
@@ -24,10 +24,8 @@ def pair_features(df: DataFrame, img: str, txt: str, out: str = "features") -> D
 
 def class_weighted(samples: DataFrame, label: str = "label") -> DataFrame:
     """Weight positives by max(negatives, 1) / max(positives, 1)."""
-    ratio = samples.agg(
-        (F.greatest(F.count_if(F.col(label) == 0), F.lit(1)) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1))).alias("r")
-    ).scalar()
-    return samples.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
+    pos, neg = samples.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()  # two numbers
+    return samples.withColumn("weight", F.when(F.col(label) == 1, max(neg, 1) / max(pos, 1)).otherwise(1.0))
 
 
 def slice_classifier(
@@ -39,10 +37,12 @@ def slice_classifier(
     setting, as a later epoch has to improve to replace the best one.
     """
     def vectors(df: DataFrame) -> DataFrame:
-        return df.withColumn("vec", array_to_vector(F.col("features"))).withColumn("label", F.col("label").cast("double"))
+        # Every iteration reads the samples: store them instead of recomputing features.
+        stored = cut_lineage(df.select("features", F.col("label").cast("double").alias("label")))
+        return stored.withColumn("vec", array_to_vector(F.col("features"))).drop("features")
 
-    fit_on = class_weighted(vectors(train)).select("vec", "label", "weight").persist()
-    check = vectors(val).select("vec", "label").persist()
+    fit_on = class_weighted(vectors(train)).persist()
+    check = vectors(val).persist()
     best, best_recall = None, -1.0
     for reg in reg_params:
         model = LogisticRegression(

@@ -14,7 +14,6 @@ from ..session import path_exists, scratch_path
 
 D, H, W = 16, 32, 32  # grid of one case
 DENSE = 16  # side of the folded frame
-SH, SW = 8, 8  # frame of one embedding read as a picture
 STOP_WORDS = ["and", "at", "in", "the", "is", "with", "both", "several"]
 
 VIEWS = {

@@ -11,7 +11,7 @@ from ..operators import labels as lb
 from ..operators import learning as ml
 from ..operators import sampling as sp
 from ..operators import slices as sl
-from ..session import scratch_path, ship_package
+from ..session import cut_lineage, scratch_path, ship_package
 from ..sources import tables as tb
 from ..sources import volumes as vol
 from .fixtures import D, H, W
@@ -295,7 +295,7 @@ def _(d):
 def _(d):
     f = ml.pair_features(_pairs(d), "img", "txt").select("case_id", "z", "features", "label")
     split = sp.random_case_split(f.select(F.col("case_id").cast("string").alias("case_id")), seed=1)
-    f = f.withColumn("case_id", F.col("case_id").cast("string")).join(split, "case_id")
+    f = cut_lineage(f.withColumn("case_id", F.col("case_id").cast("string")).join(split, "case_id"))
     model = ml.slice_classifier(f.where("split = 'train'"), f.where("split = 'val'"), reg_params=(0.01, 0.1), max_iter=10)
     return rounded(ml.slice_probability(model, f).select("case_id", "z", "label", "prob"))
 

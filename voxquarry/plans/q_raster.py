@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import boxes as bx
 from ..operators import components as cc
 from ..operators import labels as lb
 from ..operators import metrics as mt
-from ..operators import prompts as pr
 from ..operators import quality as ql
 from ..operators import reports as rp
 from ..operators import retrieval as rt
