@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_and_measure, cut_lineage, ship_package
+from ..session import cut_lineage, ship_package
 from .boxes import bbox2d_fixed
 from .voxels import SLICE, TARGET, VOXEL
 
@@ -152,13 +152,15 @@ def _star_roots(edges: DataFrame) -> DataFrame:
         moved = e.join(low, [*TARGET, "hi"]).select(*TARGET, F.col("lo").alias("hi"), F.col("m").alias("lo"))
         return ordered(moved.union(low.select(*TARGET, "hi", F.col("m").alias("lo"))))
 
-    def stored(e: DataFrame) -> tuple[DataFrame, dict]:
+    def state(e: DataFrame):
         digest = F.sum(F.xxhash64(*TARGET, "hi", "lo").cast("decimal(38,0)"))
-        return cut_and_measure(e, edges=F.count(F.lit(1)), digest=digest)
+        return e.agg(F.count(F.lit(1)), digest).first()  # two numbers
 
-    edges, before = stored(ordered(edges))
-    while before["edges"]:
-        edges, after = stored(small_star(large_star(edges)))
+    edges = cut_lineage(ordered(edges))
+    before = state(edges)
+    while before[0]:
+        edges = cut_lineage(small_star(large_star(edges)))
+        after = state(edges)
         if after == before:
             break
         before = after

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -85,15 +85,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Columnar files survive the loss of executors, are pruned by later readers
     and tell the optimizer their size, so joins on them are planned well.
     """
-    return cut_and_measure(df)[0]
-
-
-def cut_and_measure(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``cut_lineage`` plus aggregates of the rows, taken while they are written."""
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, "stage")
-    seen = Observation()
-    if metrics:
-        df = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path), (seen.get if metrics else {})
+    return spark.read.schema(schema).parquet(path)
