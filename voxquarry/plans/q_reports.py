@@ -8,6 +8,7 @@ from ..functions.losses import bce_with_logits, binary_kl, mean_of, sigmoid, smo
 from ..operators import metrics as mt
 from ..operators import reports as rp
 from ..operators.boxes import box3d_half_open
+from ..operators.ordering import topk_generic
 from .fixtures import D, H, W
 from .q_voxels import PAIRS, box_pairs
 from .registry import query, rounded
@@ -169,6 +170,16 @@ def _(d):
     return rounded(rp.ceiling_retention(rp.runs_merge(*_runs(d)), "refined", "oracle", ["mode"]))
 
 
+@query(
+    "topk_generic",
+    """SELECT anatomy, case_id, mask_id, round(dice, 6) AS dice, cast(rank AS int) AS rank FROM
+       (SELECT *, row_number() OVER (PARTITION BY anatomy ORDER BY dice DESC, case_id, mask_id) AS rank FROM evals) WHERE rank <= 3""",
+)
+def _(d):
+    top = topk_generic(d.evals, ["anatomy"], [F.col("dice").desc(), F.col("case_id"), F.col("mask_id")], 3)
+    return rounded(top.select("anatomy", *T, "dice", "rank"))
+
+
 @query(
     "running_summary",
     """SELECT case_id, mask_id, round(avg(dice) OVER w, 6) AS running_mean,
