@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import bpe, line_dedup, quality_rules, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,13 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,3 +95,16 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT J
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_ids(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+    return token_files.read_all(spark, path)
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(
+        table(spark, sf_dir, "documents"), tokenizer_file(), columns=("n_tokens", "ids_sha256", "decoded_sha256")
+    )
