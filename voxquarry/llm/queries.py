@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, quality_classifier, quality_rules, token_files
+from . import bpe, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,25 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.learnable(docs))
     out = language_id.identify(docs, model, with_spans=False)
     return out.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+f AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest,
+  min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, true AS verified
+FROM f
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archive(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
