@@ -45,8 +45,18 @@ def _bytes(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
 
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs(id, text)`` whose id is in the stored table ``ids(id, ...)``, with its columns."""
-    small = ids.count() * 40 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(ids) if small else ids, "id")
+    return docs.join(light(ids), "id")
+
+
+def light(ids: DataFrame) -> DataFrame:
+    """A stored list of ids, to be broadcast if it is small; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() * 40 <= BROADCAST_BYTES else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``ids(gone)``; null ids stay."""
+    gone = cut_lineage(ids.distinct())
+    return docs.join(light(gone), docs[id_col] == gone["gone"], "left_anti")
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:

@@ -166,6 +166,36 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    shrinkage: float = 0.05,
+    temper: float = 0.25,
+) -> tuple[DataFrame, Model]:
+    """Stored features of all documents, and a model fitted on labelled ones that aren't held out."""
+    found = cut_lineage(document_features(docs, id_col, text_col))
+    known = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & ~held_out("_lid"))
+    return found, fit(found.join(known, F.col("_id") == F.col("_lid")), shrinkage=shrinkage, temper=temper)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` with a score of ``threshold`` or more, all columns as they are; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for a, b, texts in blocks(batch.column(at).to_pylist()):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -187,10 +217,7 @@ def classify(
     ``temper`` scales the density gap: statistics of one text are not
     independent, and a full gap would be over-sure.
     """
-    found = cut_lineage(document_features(docs, id_col, text_col))
-    known = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & ~held_out("_lid"))
-    model = fit(found.join(known, F.col("_id") == F.col("_lid")), shrinkage=shrinkage, temper=temper)
+    found, model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, shrinkage=shrinkage, temper=temper)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
