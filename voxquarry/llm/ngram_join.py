@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
@@ -53,10 +53,11 @@ def light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() * 40 <= BROADCAST_BYTES else ids
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``ids(gone)``; null ids stay."""
+def without(docs: DataFrame, ids: DataFrame, id_col: str | Column = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id (or key) isn't in ``ids(gone)``; null ids stay."""
     gone = cut_lineage(ids.distinct())
-    return docs.join(light(gone), docs[id_col] == gone["gone"], "left_anti")
+    key = docs[id_col] if isinstance(id_col, str) else id_col
+    return docs.join(light(gone), key == gone["gone"], "left_anti")
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, warc
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,26 @@ FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_
 @query("op1_ngram_join", OP1_SQL)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100),
+k AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 100)) AS key FROM p),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+dup AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k JOIN f USING (key) WHERE doc_id > first),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc_id ORDER BY i) AS r FROM dup),
+spans AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, r, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY r) AS z FROM spans),
+tails AS (SELECT doc_id, max(b) AS b, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id),
+parts AS (SELECT doc_id, string_agg(substr(h, 2 * z - 1, 2 * (a - z)), '' ORDER BY r) AS kept FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN encode(text) ELSE unhex(kept || substr(h, 2 * t.b - 1)) END) AS kept_sha256
+FROM d LEFT JOIN tails t USING (doc_id) LEFT JOIN parts USING (doc_id)
+"""
+
+
+@query("op6_suffix_dedup", OP6_SQL)
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
