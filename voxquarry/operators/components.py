@@ -34,10 +34,10 @@ def packed_position(z: Column, y: Column, x: Column) -> Column:
 
 
 def voxel_runs(voxels: DataFrame) -> DataFrame:
-    """Maximal horizontal runs ``(case_id, mask_id, z, y, x0, x1)``."""
+    """Maximal horizontal runs ``(case_id, mask_id, z, y, x0, x1)``; repeated voxels count once."""
     row = Window.partitionBy(*SLICE, "y").orderBy("x")
     return (
-        voxels.withColumn("_island", F.col("x") - F.row_number().over(row))
+        voxels.withColumn("_island", F.col("x") - F.dense_rank().over(row))
         .groupBy(*SLICE, "y", "_island")
         .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
         .drop("_island")

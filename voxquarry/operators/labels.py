@@ -75,7 +75,7 @@ def case_limit(df: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         return df
     first = df.select("case_id").distinct().orderBy("case_id").limit(n)
-    return df.join(F.broadcast(first), "case_id", "left_semi")  # n rows
+    return df.join(first, "case_id", "left_semi")
 
 
 def label_fallback(targets: DataFrame, voxels: DataFrame) -> DataFrame:

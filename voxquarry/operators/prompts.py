@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -60,9 +60,9 @@ def prompt_inventory(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 
 def embed_join(prompts: DataFrame, inventory: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach the cached vector of every prompt through its inventory id."""
-    keyed = inventory.join(vectors, "prompt_id")
-    return prompts.join(keyed, "prompt")
+    """Attach the cached vector of every prompt through its inventory id; no vector yet: NULL."""
+    keyed = inventory.join(vectors, "prompt_id", "left")
+    return prompts.join(keyed, "prompt", "left")
 
 
 ATLAS_FIELDS = ["z_min", "z_max", "y_min", "x_min", "y_max", "x_max"]
@@ -123,7 +123,7 @@ def flip_laterality(text: Column) -> Column:
 def hard_negatives(packets: DataFrame, text: str = "text") -> DataFrame:
     """Misleading texts for every target: wrong side, wrong place, sibling target.
 
-    Partners are one per target: the next target of the same case, and the
+    Partners are one per target: the next target of the same case (cyclic), and the
     next place (by name, cyclic) known for the same finding.  Pairs of a group
     are never enumerated.
     """
@@ -137,15 +137,17 @@ def hard_negatives(packets: DataFrame, text: str = "text") -> DataFrame:
     at = F.array_position("places", F.col("anatomy")).cast("int")
     other = F.get("places", F.pmod(at, F.size("places")))
     moved = (
-        base.join(F.broadcast(places), "finding_type")  # one row per canonical finding
+        base.join(places, "finding_type")
         .where(F.size("places") > 1)
         .select(*TARGET, F.lit("same_finding_elsewhere").alias("kind"), F.concat_ws(" ", other, "finding_type").alias("negative"))
     )
-    # The next target id of the case, found with one scan of (case, id) pairs.
-    nxt = base.select("case_id", (F.col("mask_id") - 1).alias("mask_id"), F.col(text).alias("negative"))
-    sibling = base.select(*TARGET).join(nxt, TARGET).select(
-        *TARGET, F.lit("sibling").alias("kind"), "negative"
-    )
+    # The next target id that the case has, after the last one the first again.
+    order = Window.partitionBy("case_id").orderBy("mask_id")
+    whole = Window.partitionBy("case_id")
+    ahead = F.coalesce(F.lead("mask_id").over(order), F.min("mask_id").over(whole))
+    pairs = base.select(*TARGET).distinct().withColumn("_next", ahead).where("_next <> mask_id")
+    nxt = base.select("case_id", F.col("mask_id").alias("_next"), F.col(text).alias("negative"))
+    sibling = pairs.join(nxt, ["case_id", "_next"]).select(*TARGET, F.lit("sibling").alias("kind"), "negative")
     return flip.unionByName(moved).unionByName(sibling)
 
 

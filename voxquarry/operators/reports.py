@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import quantiles, running, value_table
+from ..session import cut_lineage
+from .ordering import join_on, quantiles, running, value_table
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
-        return left.join(right, keys)
+        return join_on(left, right, keys)
     return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row each
 
 
@@ -19,14 +20,14 @@ def result_summary(df: DataFrame, metric: str = "dice", keys: list[str] | None =
     keys = keys or []
     counted = value_table(df, keys, metric)
     v, c = F.col("value"), F.col("count")
-    n, hit, zero = F.sum(c), F.sum(F.when(v >= 0.5, c).otherwise(0)), F.sum(F.when(v == 0.0, c).otherwise(0))
+    n, hit, zero = F.sum(F.when(v.isNotNull(), c).otherwise(0)), F.sum(F.when(v >= 0.5, c).otherwise(0)), F.sum(F.when(v == 0.0, c).otherwise(0))
     head = counted.groupBy(*keys).agg(
         n.alias("n"),
-        (F.sum(v * c) / n).alias("mean"),
+        F.try_divide(F.sum(v * c), n).alias("mean"),
         hit.alias("hit"),
-        (hit * F.lit(100.0) / n).alias("hit_pct"),
+        F.try_divide(hit * F.lit(100.0), n).alias("hit_pct"),
         zero.alias("zero"),
-        (zero * F.lit(100.0) / n).alias("zero_pct"),
+        F.try_divide(zero * F.lit(100.0), n).alias("zero_pct"),
     )
     return _join_on(head, quantiles(counted, keys, {"median": 0.5}), keys)
 
@@ -41,7 +42,7 @@ def summary_by(df: DataFrame, col: str, metric: str = "dice", top: int | None =
     """``result_summary`` per value of ``col``, optionally its ``top`` most frequent values."""
     if top is not None:
         common = value_counts(df, col, top).select(col)
-        df = df.join(F.broadcast(common), col, "left_semi")  # at most `top` rows
+        df = df.join(common.withColumnRenamed(col, "_common"), F.col(col).eqNullSafe(F.col("_common")), "left_semi")
     return result_summary(df, metric, [col])
 
 
@@ -133,11 +134,11 @@ def paired_delta(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -
 def ceiling_retention(df: DataFrame, refined: str, oracle: str, keys: list[str] | None = None) -> DataFrame:
     """Refined over oracle score; pairs whose oracle is 0 are left out."""
     keys = keys or []
-    kept = df.withColumn("ratio", F.try_divide(F.col(refined), F.col(oracle))).where(F.col("ratio").isNotNull())
-    counted = value_table(kept, keys, "ratio")
-    n = F.sum("count")
+    rated = df.withColumn("ratio", F.try_divide(F.col(refined), F.col(oracle)))
+    counted = value_table(rated, keys, "ratio")
+    n = F.sum(F.when(F.col("value").isNotNull(), F.col("count")).otherwise(0))
     head = counted.groupBy(*keys).agg(
-        n.alias("n"), (F.sum(F.col("value") * F.col("count")) / n).alias("mean_retention")
+        n.alias("n"), F.try_divide(F.sum(F.col("value") * F.col("count")), n).alias("mean_retention")
     )
     return _join_on(head, quantiles(counted, keys, {"median_retention": 0.5}), keys)
 
@@ -145,7 +146,7 @@ def ceiling_retention(df: DataFrame, refined: str, oracle: str, keys: list[str]
 def running_summary(df: DataFrame, order_cols: list[str], metric: str = "dice", pred: str = "pred_voxels") -> DataFrame:
     """Running mean and running count of empty predictions in processing order."""
     out = running(
-        df,
+        cut_lineage(df),  # read three times
         [],
         order_cols,
         {

@@ -6,11 +6,13 @@ and on every cluster size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordering import global_rank, rank_within
+from .ordering import bucket_count, global_rank, rank_within
 from .voxels import TARGET
 
 
@@ -19,8 +21,9 @@ def _hash_key(*parts) -> Column:
 
 
 def _rank_by_hash(df: DataFrame) -> DataFrame:
-    """Rank by the hex hash ``h``; its first two digits are ready-made even buckets."""
-    return global_rank(df, ["h", "case_id"], bucket=F.substring("h", 1, 2))
+    """Rank by the hex hash ``h``; its first digits are ready-made even buckets, as many as the session is wide."""
+    digits = max(1, math.ceil(math.log(bucket_count(df.sparkSession), 16)))
+    return global_rank(df, ["h", "case_id"], bucket=F.substring("h", 1, digits))
 
 
 def hash_split(cases: DataFrame, n_train: int = 150, n_dev: int = 30, n_test: int = 28) -> DataFrame:

@@ -56,7 +56,7 @@ def value_profile(slices: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def slice_triplet(slices: DataFrame, block: int = Z_BLOCK) -> DataFrame:
-    """Previous, current and next slice with the edges repeated.
+    """Previous, current and next slice with the edges repeated, also beside a missing slice.
 
     Windows run over blocks of ``block`` slices that carry one halo slice on
     each side, so pixels are shuffled about once and a deep volume is spread
@@ -67,12 +67,14 @@ def slice_triplet(slices: DataFrame, block: int = Z_BLOCK) -> DataFrame:
     homes = F.array_distinct(F.array(F.floor((z - 1) / block), own, F.floor((z + 1) / block)))
     halo = slices.select("case_id", "z", "px", own.alias("_own"), F.explode(homes).alias("_block"))
     w = Window.partitionBy("case_id", "_block").orderBy("z")
+    before = F.when(F.lag("z").over(w) == z - 1, F.lag("px").over(w))
+    after = F.when(F.lead("z").over(w) == z + 1, F.lead("px").over(w))
     return (
         halo.select(
             "case_id", "z", "_own", "_block",
-            F.coalesce(F.lag("px").over(w), "px").alias("prev"),
+            F.coalesce(before, "px").alias("prev"),
             F.col("px").alias("curr"),
-            F.coalesce(F.lead("px").over(w), "px").alias("next"),
+            F.coalesce(after, "px").alias("next"),
         )
         .where(F.col("_own") == F.col("_block"))
         .drop("_own", "_block")
@@ -101,5 +103,5 @@ def training_rows(
         index.join(aux.drop("slice_exist", "text", "pos"), TARGET)
         .join(targets.select(*TARGET, "text"), TARGET)
         .join(mask, SLICE, "left")
-        .join(triplets, ["case_id", "z"])
+        .join(triplets, ["case_id", "z"], "left")  # a slice without a picture keeps its row
     )

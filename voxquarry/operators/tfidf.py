@@ -21,14 +21,6 @@ from .voxels import TARGET
 TOKEN = r"(?U)\b\w\w+\b"
 
 
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table that provably has at most ``rows`` rows, if that is few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -69,7 +61,7 @@ def tfidf_postings(texts: DataFrame, stop_words: list[str], max_features: int =
         .limit(max_features)
         .select("term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1.0).alias("idf"))
     )
-    raw = tf.join(small(vocabulary, max_features), "term").select(
+    raw = tf.join(vocabulary, "term").select(
         "text_key", "term", ((F.lit(1.0) + F.ln("tf")) * F.col("idf")).alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text_key")))
@@ -134,7 +126,7 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     strongest = Window.partitionBy("term").orderBy(F.col("weight").desc(), "text_key")
     champions = b_post.withColumn("_r", F.row_number().over(strongest)).where(F.col("_r") <= 2 * k)
     seeds = q_post.select("q_key", "term").join(
-        small(champions.select("term", "text_key"), 2 * k * max_features), "term"
+        champions.select("term", "text_key"), "term"
     ).select("q_key", "text_key").distinct()
     floor = (
         shortlist(seeds)
@@ -145,7 +137,7 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     weakest_first = Window.partitionBy("q_key").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     slack = 10.0 ** (1 - SCORE_DIGITS)
     bounded = (
-        q_post.join(small(ceiling, max_features), "term")
+        q_post.join(ceiling, "term")
         .withColumn("bound", F.col("weight") * F.col("best"))
         .withColumn("reach", F.sum("bound").over(weakest_first))
         .join(floor, "q_key", "left")

@@ -85,11 +85,11 @@ def _(d):
 
 @query(
     "label_fallback",
-    """WITH t AS (SELECT case_id, mask_id, text FROM descr WHERE case_id % 3 <> 0)
+    """WITH t AS (SELECT case_id, mask_id, text FROM descr)
        SELECT case_id, mask_id, text FROM t UNION ALL SELECT DISTINCT case_id, mask_id, '' FROM gt g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.case_id = g.case_id)""",
 )
 def _(d):
-    return lb.label_fallback(d.descr.where("case_id % 3 <> 0"), d.gt)
+    return lb.label_fallback(d.descr, d.gt)
 
 
 def box_rows(d):
@@ -171,22 +171,37 @@ def _(d):
     return tb.metrics_read(d.spark, path, "epoch bigint, n bigint, score double")
 
 
-@query("required_inputs", "SELECT DISTINCT case_id FROM descr WHERE case_id NOT IN (SELECT case_id FROM gt WHERE case_id % 2 = 0)")
+# More cases are drawn than described, so some lack their texts.
+@query("missing_inputs", "SELECT DISTINCT case_id FROM gt WHERE case_id NOT IN (SELECT case_id FROM descr)")
 def _(d):
-    return lb.missing_inputs(d.descr, d.gt.where("case_id % 2 = 0"))
+    return lb.missing_inputs(d.gt, d.descr)
+
+
+@query("required_inputs", "SELECT DISTINCT case_id FROM gt WHERE case_id IN (SELECT case_id FROM descr)")
+def _(d):
+    """Passes only if no case lacks its texts, so the cases are completed first."""
+    complete = d.gt.select("case_id").distinct().join(lb.missing_inputs(d.gt, d.descr), "case_id", "left_anti")
+    return lb.required_inputs(complete, d.descr)
 
 
 # --- indexes, splits, samples --------------------------------------------------------
 
-AUX_FLAGS = f"""fl AS (SELECT t.case_id, t.mask_id, cast(i AS int) AS z, CASE WHEN EXISTS (SELECT 1 FROM gt g WHERE g.case_id = t.case_id AND g.mask_id = t.mask_id AND g.z = i AND g.x > 20) THEN 1 ELSE 0 END AS is_positive
-   FROM descr t CROSS JOIN (SELECT unnest(generate_series(0, {D - 1})) AS i) s WHERE t.case_id % 2 = 0)"""
+TRAIN = """tc AS (SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY sha256(concat('42|', cast(case_id AS varchar)))) AS r, count(*) OVER () AS n
+   FROM (SELECT DISTINCT case_id FROM descr)) WHERE r <= floor(n * 0.8::double))"""
+AUX_FLAGS = f"""{TRAIN}, gz AS (SELECT DISTINCT case_id, mask_id, z FROM gt),
+   fl AS (SELECT t.case_id, t.mask_id, cast(i AS int) AS z, CASE WHEN gz.z IS NULL THEN 0 ELSE 1 END AS is_positive
+   FROM descr t JOIN tc USING (case_id) CROSS JOIN (SELECT unnest(generate_series(0, {D - 1})) AS i) s
+   LEFT JOIN gz ON gz.case_id = t.case_id AND gz.mask_id = t.mask_id AND gz.z = i)"""
+
+
+def train_cases(d):
+    return sp.random_case_split(d.descr.select("case_id")).where("split = 'train'")
 
 
 def slice_flags(d):
-    """Index of the even cases over targets narrowed to the right edge."""
-    narrow = d.gt.where("x > 20")
-    aux = lb.aux_labels(narrow, d.descr.select(*T, "text"), D, H, W)
-    return lb.slice_index(aux, d.descr.where("case_id % 2 = 0"))
+    """Index of the training cases over all their targets."""
+    aux = lb.aux_labels(d.gt, d.descr.select(*T, "text"), D, H, W)
+    return lb.slice_index(aux, train_cases(d))
 
 
 @query("slice_index", f"WITH {AUX_FLAGS} SELECT * FROM fl")
@@ -194,24 +209,23 @@ def _(d):
     return slice_flags(d)
 
 
-@query("case_index", "SELECT case_id, mask_id FROM descr WHERE case_id % 2 = 0")
+@query("case_index", f"WITH {TRAIN} SELECT case_id, mask_id FROM descr JOIN tc USING (case_id)")
 def _(d):
-    return lb.case_index(d.descr, d.descr.where("case_id % 2 = 0"))
+    return lb.case_index(d.descr, train_cases(d))
 
 
 @query(
     "training_rows",
     f"""WITH {AUX_FLAGS}, s AS (SELECT case_id, z, list_sum(px) AS s FROM ({DUCK_PICTURE})), tri AS (SELECT case_id, z, coalesce(lag(s) OVER w, s) AS p, s AS c, coalesce(lead(s) OVER w, s) AS n FROM s WINDOW w AS (PARTITION BY case_id ORDER BY z)),
-        m AS (SELECT case_id, mask_id, z, count(*) AS n FROM gt WHERE x > 20 GROUP BY case_id, mask_id, z), b AS (SELECT case_id, mask_id, min(z) / {float(D)}::double AS z1 FROM gt WHERE x > 20 GROUP BY case_id, mask_id)
+        m AS (SELECT case_id, mask_id, z, count(*) AS n FROM gt GROUP BY case_id, mask_id, z), b AS (SELECT case_id, mask_id, min(z) / {float(D)}::double AS z1 FROM gt GROUP BY case_id, mask_id)
         SELECT fl.case_id, fl.mask_id, fl.z, is_positive, t.text, coalesce(m.n, 0) AS gt_pixels, round(tri.p, 6) AS prev, round(tri.c, 6) AS curr, round(tri.n, 6) AS next, round(coalesce(z1, 0), 6) AS z1
-        FROM fl JOIN descr t ON t.case_id = fl.case_id AND t.mask_id = fl.mask_id JOIN tri ON tri.case_id = fl.case_id AND tri.z = fl.z
+        FROM fl JOIN descr t ON t.case_id = fl.case_id AND t.mask_id = fl.mask_id LEFT JOIN tri ON tri.case_id = fl.case_id AND tri.z = fl.z
         LEFT JOIN m ON m.case_id = fl.case_id AND m.mask_id = fl.mask_id AND m.z = fl.z LEFT JOIN b ON b.case_id = fl.case_id AND b.mask_id = fl.mask_id""",
 )
 def _(d):
-    narrow = d.gt.where("x > 20")
-    aux = lb.aux_labels(narrow, d.descr.select(*T, "text"), D, H, W)
-    index = lb.slice_index(aux, d.descr.where("case_id % 2 = 0"))
-    rows = sl.training_rows(index, sl.slice_triplet(pictures(d)), aux, d.descr, narrow)
+    aux = lb.aux_labels(d.gt, d.descr.select(*T, "text"), D, H, W)
+    index = lb.slice_index(aux, train_cases(d))
+    rows = sl.training_rows(index, sl.slice_triplet(pictures(d)), aux, d.descr, d.gt)
     total = lambda c: F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, v: a + v).alias(c)
     n = F.greatest(F.coalesce(F.size("gt_pixels"), F.lit(0)), F.lit(0)).cast("bigint").alias("gt_pixels")
     return rounded(rows.select(*T, "z", "is_positive", "text", n, total("prev"), total("curr"), total("next"), "z1"))

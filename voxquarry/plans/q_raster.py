@@ -163,11 +163,11 @@ def _(d):
 @query(
     "pseudo_boxes",
     f"""WITH {largest_sql('pred', _FACE2, 'case_id, mask_id, z')}, b AS (SELECT case_id, mask_id, z, greatest(0, min(x) - 5) AS x1, greatest(0, min(y) - 5) AS y1, least({W}, max(x) + 5) AS x2, least({H}, max(y) + 5) AS y2 FROM big GROUP BY case_id, mask_id, z),
-        g AS (SELECT case_id, mask_id, unnest(generate_series(0, {D - 1})) AS z FROM descr WHERE mask_id <= 5)
+        g AS (SELECT case_id, mask_id, unnest(generate_series(0, {D - 1})) AS z FROM descr)
         SELECT g.case_id, g.mask_id, g.z, cast(x1 AS int) AS x1, cast(y1 AS int) AS y1, cast(x2 AS int) AS x2, cast(y2 AS int) AS y2 FROM g LEFT JOIN b ON g.case_id = b.case_id AND g.mask_id = b.mask_id AND g.z = b.z""",
 )
 def _(d):
-    return cc.pseudo_boxes(d.pred, d.descr.where("mask_id <= 5"), D, H, W)
+    return cc.pseudo_boxes(d.pred, d.descr, D, H, W)
 
 
 @query(
@@ -256,7 +256,7 @@ def _(d):
 # Text -> prior -> box -> mask -> clean-up -> score, for every target of the findings.
 GUIDED = f"""{BLEND.replace('packet AS', 'packet AS', 1)},
    px AS (SELECT *, greatest(0, cast(trunc(z_min * {D}) AS int) - 1) AS z0, least({D - 1}, cast(trunc(z_max * {D}) AS int) + 1) AS z1, greatest(0, cast(trunc(x_min * {W}) AS int) - 2) AS bx1, least({W}, cast(trunc(x_max * {W}) AS int) + 2) AS bx2,
-     greatest(0, cast(trunc(y_min * {H}) AS int) - 2) AS by1, least({H}, cast(trunc(y_max * {H}) AS int) + 2) AS by2 FROM blend WHERE mask_id <= 5),
+     greatest(0, cast(trunc(y_min * {H}) AS int) - 2) AS by1, least({H}, cast(trunc(y_max * {H}) AS int) + 2) AS by2 FROM blend),
    fx AS (SELECT *, CASE WHEN bx2 <= bx1 THEN 0 ELSE bx1 END AS x1, CASE WHEN bx2 <= bx1 THEN {W} ELSE bx2 END AS x2, CASE WHEN by2 <= by1 THEN 0 ELSE by1 END AS y1, CASE WHEN by2 <= by1 THEN {H} ELSE by2 END AS y2 FROM px),
    gp AS (SELECT f.case_id, f.mask_id, v.z, v.y, v.x FROM fx f JOIN vox v ON v.case_id = f.case_id AND v.mask_id = f.mask_id AND v.z BETWEEN f.z0 AND f.z1 AND v.x >= f.x1 AND v.x < f.x2 AND v.y >= f.y1 AND v.y < f.y2 AND v.prob > 0.5)"""
 
@@ -274,7 +274,7 @@ GUIDED = f"""{BLEND.replace('packet AS', 'packet AS', 1)},
         {_summary('gscored', 'target_form')}""",
 )
 def _(d):
-    priors = cut_lineage(blended(d).where("mask_id <= 5").select(*T, "target_form", "anatomy", "post_rule", *rt.EXTENT))
+    priors = cut_lineage(blended(d).select(*T, "target_form", "anatomy", "post_rule", *rt.EXTENT))
     boxes = bx.prior_slices(bx.prior_to_pixels(priors, D, H, W, margin=2)).select(*T, "z", "x1", "y1", "x2", "y2")
     prob = tr.inside_box(d.vox.select(*V, "prob"), boxes)
     raw = vx.threshold_fixed(prob, 0.5).select(*V)
@@ -286,7 +286,7 @@ def _(d):
 @query(
     "failure_modes",
     f"""WITH {largest_sql('pred', _FACE2, 'case_id, mask_id, z')}, b AS (SELECT case_id, mask_id, z, greatest(0, min(x) - 5) AS x1, greatest(0, min(y) - 5) AS y1, least({W}, max(x) + 5) AS x2, least({H}, max(y) + 5) AS y2 FROM big GROUP BY case_id, mask_id, z),
-        t AS (SELECT case_id, mask_id, z, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM gt WHERE z % 5 <> 0 GROUP BY case_id, mask_id, z),
+        t AS (SELECT case_id, mask_id, z, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM gt GROUP BY case_id, mask_id, z),
         j AS (SELECT case_id, mask_id, z, CASE WHEN b.x1 IS NULL THEN 'empty' WHEN t.x1 IS NULL THEN 'wrong_slice' WHEN (b.x2 - b.x1) * (b.y2 - b.y1) > 3 * (t.x2 - t.x1) * (t.y2 - t.y1) THEN 'too_large'
            WHEN sqrt(((b.x1 + b.x2) / 2 - (t.x1 + t.x2) / 2) ** 2 + ((b.y1 + b.y2) / 2 - (t.y1 + t.y2) / 2) ** 2) > 0.5003 * sqrt(((t.x2 - t.x1) / 2) ** 2 + ((t.y2 - t.y1) / 2) ** 2) THEN 'off_centre' ELSE 'ok' END AS failure
            FROM b FULL JOIN t USING (case_id, mask_id, z))
@@ -294,7 +294,7 @@ def _(d):
 )
 def _(d):
     boxes = bx.bbox2d_fixed(cc.largest_cc(d.pred, dim=2), H, W)
-    truth = d.gt.where("z % 5 <> 0").groupBy(*T, "z").agg(
+    truth = d.gt.groupBy(*T, "z").agg(
         F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2")
     )
     return ql.failure_modes(boxes, truth, off_centre=0.5003).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))

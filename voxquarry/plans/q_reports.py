@@ -296,13 +296,13 @@ AUX_BOX = f"""SELECT t.case_id, t.mask_id, CASE WHEN z1 IS NULL THEN 0 ELSE 1 EN
     (SELECT case_id, cast(unnest(generate_series(1, 5)) AS bigint) AS mask_id FROM (SELECT DISTINCT case_id FROM gt)) t
     LEFT JOIN (SELECT case_id, mask_id, min(z) / {D}.0::double AS z1, (max(z) + 1) / {D}.0::double AS z2, avg(z) / {D}.0 AS cz,
      min(y) / {H}.0::double AS y1, (max(y) + 1) / {H}.0::double AS y2, avg(y) / {H}.0 AS cy,
-     min(x) / {W}.0::double AS x1, (max(x) + 1) / {W}.0::double AS x2, avg(x) / {W}.0 AS cx FROM gt WHERE mask_id < 3 GROUP BY case_id, mask_id) b
+     min(x) / {W}.0::double AS x1, (max(x) + 1) / {W}.0::double AS x2, avg(x) / {W}.0 AS cx FROM gt GROUP BY case_id, mask_id) b
     ON t.case_id = b.case_id AND t.mask_id = b.mask_id"""
 
 
 def aux_box(d):
-    """Auxiliary boxes of targets 1-5, of which only 1 and 2 exist."""
-    box = box3d_half_open(d.gt.where("mask_id < 3"), D, H, W)
+    """Auxiliary boxes of targets 1-5; 4 and 5 are absent."""
+    box = box3d_half_open(d.gt, D, H, W)
     j = targets(d).join(box, T, "left").withColumn("existence", F.when(F.col("z1").isNotNull(), 1).otherwise(0))
     j = j.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("z1", "y1", "x1", "z2", "y2", "x2", "cz", "cy", "cx")})
     return j.withColumns({"z_lo": F.col("z1"), "z_hi": F.col("z2")})

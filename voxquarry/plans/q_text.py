@@ -171,7 +171,7 @@ def _(d):
 @query(
     "embed_join",
     f"""WITH m AS ({MODES}), u AS (SELECT prompt, row_number() OVER (ORDER BY prompt COLLATE "C") - 1 AS prompt_id FROM (SELECT DISTINCT prompt FROM m))
-        SELECT m.case_id, m.mask_id, m.mode, u.prompt_id, round(cast(e.embedding[1] AS double), 6) AS e0 FROM m JOIN u ON m.prompt = u.prompt JOIN embeddings e ON e.vec_id = u.prompt_id""",
+        SELECT m.case_id, m.mask_id, m.mode, u.prompt_id, round(cast(e.embedding[1] AS double), 6) AS e0 FROM m JOIN u ON m.prompt = u.prompt LEFT JOIN embeddings e ON e.vec_id = u.prompt_id""",
 )
 def _(d):
     prompts = pr.prompt_modes(d.descr).select(*T, "mode", "prompt")
@@ -279,7 +279,7 @@ def _(d):
 # --- TF-IDF -------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-VOCAB_CAP = 60
+VOCAB_CAP = 5000
 TFIDF = rf"""tk AS (SELECT doc_id, case_id, mask_id, list_filter(regexp_extract_all(lower(text), '\b\w\w+\b'), lambda v : v NOT IN ({_STOP})) AS t FROM descr),
    tm AS (SELECT doc_id, unnest(t) AS term FROM tk UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i : t[i] || ' ' || t[i + 1])) FROM tk),
    tfc AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY doc_id, term),
@@ -374,7 +374,8 @@ def _(d):
           FROM (SELECT DISTINCT finding_type, anatomy FROM packet) WINDOW w AS (PARTITION BY finding_type ORDER BY anatomy))
         SELECT case_id, mask_id, 'laterality_flip' AS kind, t AS negative FROM f WHERE t <> text
         UNION ALL SELECT p.case_id, p.mask_id, 'same_finding_elsewhere', coalesce(nxt, fst) || ' ' || p.finding_type FROM packet p JOIN pl ON p.finding_type = pl.finding_type AND p.anatomy = pl.anatomy WHERE n > 1
-        UNION ALL SELECT a.case_id, a.mask_id, 'sibling', b.text FROM packet a JOIN packet b ON a.case_id = b.case_id AND b.mask_id = a.mask_id + 1""",
+        UNION ALL SELECT a.case_id, a.mask_id, 'sibling', b.text FROM (SELECT case_id, mask_id, coalesce(lead(mask_id) OVER o, min(mask_id) OVER (PARTITION BY case_id)) AS nx
+          FROM packet WINDOW o AS (PARTITION BY case_id ORDER BY mask_id)) a JOIN packet b ON a.case_id = b.case_id AND b.mask_id = a.nx WHERE a.nx <> a.mask_id""",
 )
 def _(d):
     return pr.hard_negatives(packets(d))
