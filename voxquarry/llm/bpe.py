@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, spread
 
 LEAF = 64  # bytes of a word that are merged at once
-CACHE = 400_000  # chunks a worker remembers
+CACHE = 350_000  # chunks in a generation of a worker's cache
 SLICE = 2 << 20  # characters handled between two output batches
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = "!-~\u00a1-\u012f\u0131-\u017f"
@@ -72,6 +72,7 @@ class Codec:
             size[vocab[a + b]] = len((a + b).removesuffix("</w>"))
         self.width = size
         self.cache: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or NONE."""
@@ -252,11 +253,17 @@ class Codec:
         return np.concatenate(lens), np.concatenate(flats) if flats else np.zeros(0, np.int64)
 
     def remember(self, chunks: set[str], make) -> dict:
-        """Cache of ``chunks``; ``make(ids, offsets)`` lists the entries of new ones."""
-        new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(chunks)
+        """Cache of at least ``chunks``; ``make(ids, offsets)`` lists the entries of new ones.
+
+        A full generation becomes the old one, from which words in use come
+        back, so frequent words are encoded once per worker.
+        """
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        missing = chunks.difference(self.cache)
+        known = missing.intersection(self.old)
+        self.cache.update(zip(known, map(self.old.__getitem__, known)))
+        new = list(missing.difference(known))
         if new:
             self.cache.update(zip(new, make(*self.encode_chunks(new))))
         return self.cache
@@ -309,7 +316,7 @@ def outputs(ids: str, decoded: str, want: list[str]) -> list:
     """Wanted columns of one text, from its decimal ids and tokens joined by spaces."""
     make = {
         "n_tokens": lambda: ids.count(" ") + 1 if ids else 0,
-        "ids": lambda: np.array(ids.split(" ") if ids else [], np.int32),
+        "ids": lambda: np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32),
         "decoded": lambda: decoded,
         "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
         "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),

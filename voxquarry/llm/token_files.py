@@ -27,12 +27,12 @@ SHARD_DDL = (
     "part int, shard int, first_key bigint, last_key bigint, n_null int, n_docs int, n_tokens bigint, "
     "width int, keys binary, index binary, payload binary"
 )
-BUCKET = 4  # keys a bucket of the hash holds on average
+BUCKET = 2  # keys a bucket of the hash holds on average; more make seeds hard to find
 
 
-def mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit finaliser of the keys under a seed."""
-    x = keys.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
+def mix(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """64-bit finaliser of the keys under a seed, or under one seed each."""
+    x = keys.astype(np.uint64) + (np.asarray(seed).astype(np.uint64) + np.uint64(1)) * np.array([0x9E3779B97F4A7C15], np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -46,22 +46,36 @@ def build_hash(keys: np.ndarray) -> np.ndarray:
     """
     n = len(keys)
     m = max(1, -(-n // BUCKET))
+    if not n:
+        return np.zeros(1, np.int32)
     bucket = (mix(keys, 0) % np.uint64(m)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     size = np.bincount(bucket, minlength=m)
     start = np.cumsum(size) - size
     seeds, free = np.zeros(m, np.int32), np.ones(n, bool)
-    for b in np.argsort(-size, kind="stable").tolist():
-        k = size[b]
-        if k < 2:
-            break
-        own, seed = keys[order[start[b] : start[b] + k]], 1
-        while True:
-            at = (mix(own, seed) % np.uint64(n)).astype(np.int64)
-            if free[at].all() and len(np.unique(at)) == k:
-                break
+    for k in range(int(size.max()), 1, -1):
+        left = np.flatnonzero(size == k)
+        own = keys[order[start[left][:, None] + np.arange(k)]]
+        seed = 0
+        while len(left):
             seed += 1
-        free[at], seeds[b] = False, seed
+            at = (mix(own, seed) % np.uint64(n)).astype(np.int64)
+            line = np.sort(at, axis=1)
+            fits = np.flatnonzero(free[at].all(axis=1) & (line[:, 1:] != line[:, :-1]).all(axis=1))
+            if not len(fits):
+                continue
+            # where buckets of one round meet in a slot, the first keeps it
+            claim = np.empty(n, np.int64)
+            for j in range(k):
+                claim[at[fits[::-1], j]] = fits[::-1]
+            for j in range(k):
+                claim[at[fits, j]] = np.minimum(claim[at[fits, j]], fits)
+            won = fits[(claim[at[fits]] == fits[:, None]).all(axis=1)]
+            free[at[won]] = False
+            seeds[left[won]] = seed
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, own = left[stay], own[stay]
     single = np.flatnonzero(size == 1)
     seeds[single] = -1 - np.flatnonzero(free)[: len(single)]
     return seeds
@@ -70,11 +84,7 @@ def build_hash(keys: np.ndarray) -> np.ndarray:
 def find_slots(seeds: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
     """Slot of each key under the hash; any slot for a key that isn't in it."""
     seed = seeds[(mix(keys, 0) % np.uint64(len(seeds))).astype(np.int64)].astype(np.int64)
-    slot = np.where(seed < 0, -1 - seed, 0)
-    for s in np.unique(seed[seed > 0]).tolist():
-        of = seed == s
-        slot[of] = (mix(keys[of], s) % np.uint64(n)).astype(np.int64)
-    return slot
+    return np.where(seed < 0, -1 - seed, (mix(keys, np.maximum(seed, 0)) % np.uint64(n)).astype(np.int64))
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
