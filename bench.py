@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,7 +38,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = local_session(cpus, **{"spark.driver.memory": "16g"})
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-shared-")
+    spark = local_session(cpus, **{"spark.driver.memory": "16g", "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in HEADLINE:

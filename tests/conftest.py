@@ -9,8 +9,8 @@ from voxquarry.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("8", 4)
+def spark(tmp_path_factory):
+    s = local_session("8", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -42,6 +42,11 @@ def bbox2d_adaptive(
     return _with_margin(ext, keys, clamp((F.lit(ratio) * side).cast("int"), lo, hi), h, w)
 
 
+def hash_number(key: Column) -> Column:
+    """First 32 bits of the SHA-256 of a text: a draw that any engine can repeat."""
+    return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint")
+
+
 def bbox_jitter(boxes: DataFrame, h: int, w: int, n: int = 5, px: int = 3, seed: int = 0) -> DataFrame:
     """``n`` copies of each slice box with every side moved by up to ``px`` pixels.
 
@@ -50,8 +55,8 @@ def bbox_jitter(boxes: DataFrame, h: int, w: int, n: int = 5, px: int = 3, seed:
     out = boxes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def off(i: int) -> Column:
-        key = F.xxhash64(F.lit(seed), *[F.col(c) for c in SLICE], F.col("copy"), F.lit(i))
-        return (F.pmod(key, F.lit(2 * px + 1)) - px).cast("int")
+        key = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in SLICE], F.col("copy").cast("string"), F.lit(i))
+        return (hash_number(key) % (2 * px + 1) - px).cast("int")
 
     return out.select(
         *SLICE, "copy",

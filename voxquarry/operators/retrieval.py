@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, value_range
+from ..functions.vectors import dot, norm, value_range
 from ..session import cut_lineage
 from .voxels import TARGET
 
@@ -163,17 +163,24 @@ def prior_blend(packets: DataFrame, prior: DataFrame, min_score: float = 3.0) ->
 
 
 def cosine_topk(
-    slices: DataFrame, texts: DataFrame, k: int = 10, min_sim: float = -0.5, constant_eps: float = 1e-8
+    slices: DataFrame, texts: DataFrame, k: int = 10, min_sim: float = -0.5, constant_eps: float = 1e-8, z_block: int = 64
 ) -> DataFrame:
     """Slices of a case ranked by cosine similarity with each text of that case.
 
     Constant slices score -1; rows at or below ``min_sim`` go after the cut to k.
+    Flags and norms are made before the join, so pixels stay out of it; a case
+    is split by blocks of slices, to each of which its few texts go.
     """
-    pairs = slices.select("case_id", "z", "px", F.col("embedding").alias("slice_vec")).join(
-        texts.select(*TARGET, F.col("embedding").alias("text_vec")), "case_id"
+    left = slices.select(
+        "case_id", "z", F.floor(F.col("z") / z_block).alias("_block"),
+        (value_range(F.col("px")) < constant_eps).alias("_flat"),
+        F.col("embedding").alias("slice_vec"), norm(F.col("embedding")).alias("_slice_norm"),
     )
-    sim = F.when(value_range(F.col("px")) < constant_eps, F.lit(-1.0)).otherwise(
-        cosine(F.col("slice_vec"), F.col("text_vec"))
+    right = texts.select(*TARGET, F.col("embedding").alias("text_vec"), norm(F.col("embedding")).alias("_text_norm"))
+    blocks = slices.select("case_id", F.floor(F.col("z") / z_block).alias("_block")).distinct()
+    pairs = left.join(right.join(blocks, "case_id"), ["case_id", "_block"])
+    sim = F.when(F.col("_flat"), F.lit(-1.0)).otherwise(
+        F.try_divide(dot(F.col("slice_vec"), F.col("text_vec")), F.col("_slice_norm") * F.col("_text_norm"))
     )
     scored = pairs.select(*TARGET, "z", sim.alias("sim"))
     w = Window.partitionBy(*TARGET).orderBy(F.col("sim").desc(), "z")

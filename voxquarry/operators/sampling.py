@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .boxes import hash_number
 from .ordering import bucket_count, global_rank, rank_within
 from .voxels import TARGET
 
@@ -92,8 +93,8 @@ def posneg_sample(
         .where(F.col("_size") > 0)
         .select(
             "draw", "is_positive",
-            F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("draw")), F.col("_size")).alias("_r"),
-            F.xxhash64(F.lit(seed), F.lit(epoch), F.lit("order"), F.col("draw")).alias("order_key"),
+            (hash_number(F.concat_ws("|", F.lit(seed), F.lit(epoch), F.col("draw").cast("string"))) % F.col("_size")).alias("_r"),
+            hash_number(F.concat_ws("|", F.lit(seed), F.lit(epoch), F.lit("order"), F.col("draw").cast("string"))).alias("order_key"),
         )
     )
     return draws.join(ranked, ["is_positive", "_r"]).drop("_r")

@@ -12,12 +12,12 @@ from . import voxels as vx
 from .metrics import dice_of
 from .voxels import SLICE, TARGET, VOXEL
 
-TRICKS = {"adaptive_margin", "otsu", "erosion", "confidence_gate", "cc2d", "cc3d"}
+TRICKS = {"adaptive_margin", "ensemble", "otsu", "erosion", "confidence_gate", "cc2d", "cc3d"}
 
 
-def inside_box(prob: DataFrame, boxes: DataFrame) -> DataFrame:
+def inside_box(prob: DataFrame, boxes: DataFrame, keys: list[str] = SLICE) -> DataFrame:
     """Probability pixels inside the box of their slice (far side exclusive)."""
-    j = prob.join(boxes, SLICE)
+    j = prob.join(boxes, keys)
     return j.where(
         (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
     ).drop("x1", "y1", "x2", "y2")
@@ -35,16 +35,24 @@ def fixed_threshold_of(tricks: set[str], default: float = 0.5) -> float:
 
 
 def refine(
-    prob: DataFrame, tricks: set[str], h: int, w: int, *, prompt: DataFrame | None = None, min_conf: float = 0.55
+    prob: DataFrame, tricks: set[str], h: int, w: int, *, prompt: DataFrame | None = None, min_conf: float = 0.55,
+    copies: int = 5, seed: int = 0,
 ) -> DataFrame:
     """Box, threshold, erosion, confidence gate and component steps as one lazy plan.
 
     ``prompt`` are voxels whose per-slice boxes limit the map; the model that
     would score inside a box is the caller's (see ``learning.batch_score``).
+    ``ensemble`` scores jittered copies of each box and takes the mean
+    probability; ``prob`` may have a column ``copy`` with the map of each copy.
     """
     if prompt is not None:
         boxes = bx.bbox2d_adaptive(prompt, h, w) if "adaptive_margin" in tricks else bx.bbox2d_fixed(prompt, h, w)
-        prob = inside_box(prob, boxes)
+        if "ensemble" in tricks:
+            boxes = bx.bbox_jitter(boxes, h, w, n=copies, seed=seed)
+            keys = [*SLICE, "copy"] if "copy" in prob.columns else SLICE
+            prob = vx.prob_ensemble(inside_box(prob, boxes, keys).select(*VOXEL, "prob"), copies)
+        else:
+            prob = inside_box(prob, boxes)
     if "otsu" in tricks:
         mask = th.otsu_mask(prob, h, w)
     else:

@@ -266,12 +266,22 @@ def _(d):
     return sp.negative_sample(slice_flags(d))
 
 
-@query("posneg_sample")
+def _draw(*parts):
+    return f"('0x' || substr(sha256(concat_ws('|', {', '.join(map(str, parts))})), 1, 8))::bigint"
+
+
+@query(
+    "posneg_sample",
+    f"""WITH {AUX_FLAGS}, r AS (SELECT *, row_number() OVER (PARTITION BY is_positive ORDER BY case_id, mask_id, z) - 1 AS r FROM fl),
+        n AS (SELECT is_positive, count(*) AS size FROM fl GROUP BY is_positive), t AS (SELECT count(*) AS n, cast(round_even(count(*) * 0.7, 0) AS bigint) AS p FROM fl),
+        dr AS (SELECT draw, CASE WHEN draw < p THEN 1 ELSE 0 END AS is_positive FROM t, LATERAL (SELECT unnest(range(t.n)) AS draw)),
+        k AS (SELECT draw, is_positive, {_draw(3, 0, 'draw')} % size AS r, {_draw(3, 0, "'order'", 'draw')} AS order_key FROM dr JOIN n USING (is_positive))
+        SELECT k.is_positive, draw, order_key, case_id, mask_id, z FROM k JOIN r ON r.is_positive = k.is_positive AND r.r = k.r""",
+)
 def _(d):
     return sp.posneg_sample(slice_flags(d), seed=3)
 
 
-# Draws are hashed, so only their numbers can be checked in SQL.
 @query(
     "posneg_sample_counts",
     f"WITH {AUX_FLAGS}, n AS (SELECT count(*) AS n, cast(round_even(count(*) * 0.7, 0) AS bigint) AS p FROM fl) SELECT 1 AS is_positive, p AS draws FROM n UNION ALL SELECT 0, n - p FROM n",

@@ -18,6 +18,7 @@ from ..session import cut_lineage
 from .fixtures import D, DENSE, H, W
 from .q_reports import _summary
 from .q_text import BLEND, blended
+from .q_voxels import JITTER
 from .registry import query, rounded
 
 T = ["case_id", "mask_id"]
@@ -239,6 +240,28 @@ def _(d):
     return tr.refine(d.vox.select(*V, "prob"), {"adaptive_margin", "threshold_0.65"}, H, W, prompt=d.gt)
 
 
+@query(
+    "tricks_ensemble",
+    f"""WITH {JITTER}, m AS (SELECT v.case_id, v.mask_id, v.z, v.y, v.x, sum(prob) / 5 AS prob FROM vox v JOIN jitter b USING (case_id, mask_id, z)
+          WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY ALL) SELECT case_id, mask_id, z, y, x FROM m WHERE prob > 0.4503""",
+)
+def _(d):
+    return tr.refine(d.vox.select(*V, "prob"), {"ensemble", "threshold_0.4503"}, H, W, prompt=d.gt, seed=7)
+
+
+_CUT = "(SELECT case_id, mask_id, z, y, x FROM dense WHERE prob > 0.65)"
+
+
+@query("tricks_cc2d", f"WITH {largest_sql(_CUT, _FACE2, 'case_id, mask_id, z')} SELECT * FROM big")
+def _(d):
+    return tr.refine(d.dense, {"threshold_0.65", "cc2d"}, DENSE, DENSE)
+
+
+@query("tricks_cc3d", f"WITH {largest_sql(_CUT, _FACE3, 'case_id, mask_id')} SELECT * FROM big")
+def _(d):
+    return tr.refine(d.dense, {"threshold_0.65", "cc3d"}, DENSE, DENSE)
+
+
 _GRID = [(f"t{t}_c{c}", t, c) for t in (0.3, 0.5, 0.65) for c in (0.0, 0.6503, 0.7503)]
 
 
