@@ -315,13 +315,29 @@ def _(d):
     return rounded(f.select("case_id", "z", F.posexplode("features").alias("i", "v")))
 
 
-@query("slice_classifier")
-def _(d):
+def _scored_pairs(d):
     f = ml.pair_features(_pairs(d), "img", "txt").select("case_id", "z", "features", "label")
     split = sp.random_case_split(f.select(F.col("case_id").cast("string").alias("case_id")), seed=1)
     f = cut_lineage(f.withColumn("case_id", F.col("case_id").cast("string")).join(split, "case_id"))
     model = ml.slice_classifier(f.where("split = 'train'"), f.where("split = 'val'"), reg_params=(0.01, 0.1), max_iter=10)
-    return rounded(ml.slice_probability(model, f).select("case_id", "z", "label", "prob"))
+    return ml.slice_probability(model, f)
+
+
+@query("slice_classifier")
+def _(d):
+    return rounded(_scored_pairs(d).select("case_id", "z", "label", "prob"))
+
+
+# What can be checked of a fitted model: every row of both splits has a probability.
+@query(
+    "slice_classifier_facts",
+    """WITH c AS (SELECT case_id, row_number() OVER (ORDER BY sha256(concat('1|', cast(case_id AS varchar)))) AS r, count(*) OVER () AS n
+         FROM (SELECT DISTINCT case_id FROM emb_slice)), s AS (SELECT case_id, CASE WHEN r <= floor(n * 0.8::double) THEN 'train' ELSE 'val' END AS split FROM c)
+       SELECT split, CASE WHEN e.label = case_id % 10 THEN 1 ELSE 0 END AS label, count(*) AS n, count(*) AS n_scored FROM emb_slice e JOIN s USING (case_id) GROUP BY ALL""",
+)
+def _(d):
+    scored = _scored_pairs(d).groupBy("split", "label")
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob").between(0.0, 1.0)).alias("n_scored"))
 
 
 def _demo_model():
