@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from voxquarry.plans import catalog  # noqa: E402
-from voxquarry.session import local_session  # noqa: E402
+from voxquarry.session import local_session, stage_scope  # noqa: E402
 
 HEADLINE = [
     "dice_score", "result_summary", "grouping_report", "runs_merge", "bbox2d_adaptive", "aux_labels",
@@ -30,7 +30,8 @@ HEADLINE = [
 
 def run(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    with stage_scope(spark):
+        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 

@@ -1,8 +1,11 @@
 """Cases in which rows used to be lost: NULL groups, gaps, repeats, missing partners."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from voxquarry import session
 from voxquarry.operators import components, labels, ordering, prompts, reports, slices
 
 
@@ -63,3 +66,13 @@ def test_buckets_are_even_and_ordered(spark):
     assert len(sizes) == 17 and max(r.n for r in sizes) < 3 * 20_000 / 16
     assert all(a.hi <= b.lo for a, b in zip(sizes, sizes[1:]))
     assert ordering.bucket_count(spark) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stages_end_with_their_scope(spark):
+    shared = session.shared_dir(spark)
+    held = set(os.listdir(shared))
+    voxels = spark.createDataFrame([(1, 1, z, 0, 0) for z in range(60)], "case_id int, mask_id int, z int, y int, x int")
+    with session.stage_scope(spark):
+        got = components.component_runs(voxels, block=4).select("label").distinct().count()
+        assert set(os.listdir(shared)) - held
+    assert got == 1 and set(os.listdir(shared)) == held

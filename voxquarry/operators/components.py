@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, drop_stage, ship_package
 from .boxes import bbox2d_fixed
 from .voxels import SLICE, TARGET, VOXEL
 
@@ -159,8 +159,9 @@ def _star_roots(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(ordered(edges))
     before = state(edges)
     while before[0]:
-        edges = cut_lineage(small_star(large_star(edges)))
+        read, edges = edges, cut_lineage(small_star(large_star(edges)))
         after = state(edges)
+        drop_stage(read)  # the new generation is stored and no longer needs it
         if after == before:
             break
         before = after

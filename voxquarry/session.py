@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,13 +81,47 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Columnar files survive the loss of executors, are pruned by later readers
     and tell the optimizer their size, so joins on them are planned well.
+    This runs a job at once.  Delete the table with ``drop_stage`` or at the
+    end of a ``stage_scope``.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    stored = spark.read.schema(schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def drop_stage(stored: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that nothing reads any more."""
+    spark, path = stored.sparkSession, stored.stage_path
+    _delete(spark, path)
+    _STAGES[spark.sparkContext.applicationId].remove(path)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, all stages stored inside; results must be written or collected by then."""
+    written = _STAGES.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    try:
+        yield
+    finally:
+        for path in written[before:]:
+            _delete(spark, path)
+        del written[before:]
