@@ -11,6 +11,7 @@ from ..functions.vectors import value_range
 from ..operators import boxes as bx
 from ..operators import voxels as vx
 from ..operators import slices as sl
+from ..session import scratch_path
 from .fixtures import D, H, W
 from .registry import query, rounded
 
@@ -426,11 +427,10 @@ def _(d):
         UNION ALL SELECT 'raw01', case_id, z, i, round(p, 6) FROM e""",
 )
 def _(d):
-    modes = F.explode(F.array(*[F.lit(m) for m in ("imagenet255", "hu", "raw01")]))
-    s = pictures(d).withColumn("mode", modes)
-    return _pixels(
-        s.withColumn("px", sl.scale_intensity(F.col("px").cast("array<double>"), F.col("mode"))), "mode", "case_id", "z"
-    )
+    path = scratch_path(d.spark, "export")
+    for mode in ("imagenet255", "hu", "raw01"):
+        sl.export_scaled(pictures(d), mode).withColumn("mode", F.lit(mode)).write.mode("append").parquet(path)
+    return _pixels(d.spark.read.parquet(path), "mode", "case_id", "z")
 
 
 @query(
