@@ -148,17 +148,23 @@ def tfidf_topk(queries: DataFrame, bank: DataFrame, stop_words: list[str], k: in
     limits = bounded.groupBy("q_key").agg(
         F.max("floor").alias("floor"),
         F.coalesce(F.max(F.when(~F.col("essential"), F.col("reach"))), F.lit(0.0)).alias("rest"),
+        F.coalesce(F.sum(F.when(~F.col("essential"), F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("rest_sq"),
     )
     partial = (
         bounded.where("essential")
         .select("q_key", "term", F.col("weight").alias("qw"))
         .join(b_post, "term")
         .groupBy("q_key", "text_key")
-        .agg(F.sum(F.col("qw") * F.col("weight")).alias("partial"))
+        .agg(
+            F.sum(F.col("qw") * F.col("weight")).alias("partial"),
+            F.sum(F.col("weight") * F.col("weight")).alias("used_sq"),
+        )
     )
+    # Vectors have length 1, so the skipped terms meet at most what is left of both lengths.
+    lengths = F.sqrt(F.col("rest_sq") * F.greatest(F.lit(0.0), F.lit(1.0) - F.col("used_sq")))
     pairs = (
         partial.join(limits, "q_key")
-        .where(F.col("partial") + F.col("rest") + slack >= F.col("floor"))
+        .where(F.col("partial") + F.least("rest", lengths) + slack >= F.col("floor"))
         .select("q_key", "text_key")
     )
     hits = cut_lineage(
