@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stage
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -36,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, F.col("a") == F.col("v"))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        now = cut_lineage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        read, now = now, cut_lineage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
         after = _print_of(now)
+        drop_stage(read)  # the new generation is stored
         if after == before:
             break
         before = after

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 4 << 20  # bytes of text handled at once, one longer text excepted
+BLOCK = 1 << 20  # bytes of text handled at once, one longer text excepted
 _U = np.uint64
 FACTOR = 0xD6E8FEB86659FD93
 VALUES = np.random.Generator(np.random.PCG64(20_011)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
