@@ -54,6 +54,13 @@ def test_encode(spark, lib, limit, leaf):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_raw_ids(spark, lib):
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in enumerate(texts())], SCHEMA)
+    got = bpe.encode(df, PATH, columns=("n_tokens", "ids"), parallel_chars=600, leaf_chars=100).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: expected(lib, t)[0] for i, t in enumerate(texts())}
+    assert all(len(r.ids) == r.n_tokens for r in got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bpe.encode(df, PATH).collect() == []

@@ -73,6 +73,7 @@ class Codec:
         self.width = size
         self.cache: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.limit = CACHE
 
     def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or NONE."""
@@ -258,7 +259,7 @@ class Codec:
         A full generation becomes the old one, from which words in use come
         back, so frequent words are encoded once per worker.
         """
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
         missing = chunks.difference(self.cache)
         known = missing.intersection(self.old)
@@ -352,6 +353,12 @@ def encode(
     id_type = rows.schema["_id"].dataType.simpleString()
     out_ddl = ", ".join([f"_id {id_type}", *[f"`{c}` {DDL[c]}" for c in want]])
 
+    plain = set(want) <= {"n_tokens", "ids"}  # then raw ids are kept, not their text
+
+    def raw_entries(ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw, cut = ids.astype("<i4").tobytes(), (4 * offsets).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
     def entry(c: Codec):
         def make(ids: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str]]:
             ids, offsets = ids.tolist(), offsets.tolist()
@@ -361,18 +368,23 @@ def encode(
         return make
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "text")
-        make = entry(c)
-        for batch in batches:
+        c = codec(path, "raw" if plain else "text")
+        make = raw_entries if plain else entry(c)
+        c.limit = CACHE if plain else CACHE // 2  # entries with texts are twice as large
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE // 2):
                 chunks = [split_text(t) if t else [] for t in texts[a:b]]
                 cache = c.remember(set().union(*chunks), make)
                 cols: list[list] = [[] for _ in want]
                 for words in chunks:
                     found = [cache[w] for w in words]
-                    ids, decoded = " ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]])
-                    for col, v in zip(cols, outputs(ids, decoded, want)):
+                    if plain:
+                        raw = np.frombuffer(b"".join(found), "<i4")
+                        values = [raw if w == "ids" else len(raw) for w in want]
+                    else:
+                        values = outputs(" ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]]), want)
+                    for col, v in zip(cols, values):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *[pa.array(v, KINDS[w]) for v, w in zip(cols, want)]],
