@@ -247,7 +247,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], held: Items = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, texts in blocks(batch.column(1).to_pylist()):
+                for a, b, texts in blocks(batch.column(1)):
                     w = Words([t.translate(PLAIN) for t in texts])
                     first = np.cumsum(w.count) - w.count
                     best: dict[tuple[int, int], tuple[int, int]] = {}

@@ -111,7 +111,7 @@ def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in blocks(batch.column(1).to_pylist()):
+            for a, b, texts in blocks(batch.column(1)):
                 x = features(texts)
                 values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), values], names=["_id", "_x"])
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            for a, b, texts in blocks(batch.column(at).to_pylist()):
+            for a, b, texts in blocks(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 from .ngram_join import fetch, without
-from .tokens import POWERS, VALUES, mix
+from .tokens import POWERS, VALUES, each, mix
 
 _U = np.uint64
 GRAM = 20  # bytes of an anchor
 BLOCK = 1 << 20  # bytes keyed at once
-RANGE_BYTES = 12 << 20  # text bytes per range of anchors
+RANGE_BYTES = 5 << 20  # text bytes per range of anchors
+WINDOWS = 1 << 18  # windows sorted at once, more only under a single anchor
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -44,10 +45,16 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
 class Suffixes:
     """Suffixes ``buf[pos : pos + size]`` under hash comparison."""
 
-    def __init__(self, buf: np.ndarray, pos: np.ndarray, size: np.ndarray):
+    def __init__(self, buf: np.ndarray, pos: np.ndarray, size: np.ndarray, sums: np.ndarray | None = None):
         self.buf, self.pos, self.size = buf, pos, size
-        self.sums = prefix_hash(buf)
+        self.sums = prefix_hash(buf) if sums is None else sums
         self.down = POWERS.upto(len(buf) + 1)[1]
+        # the first eight bytes settle many comparisons
+        self.word = np.zeros(len(pos), np.uint64)
+        self.ahead = 8 if len(size) and size.min() >= 8 else 0
+        for k in range(self.ahead):
+            self.word = (self.word << _U(8)) | buf[pos + k]
+        self.whole = (self.sums[pos + size] - self.sums[pos]) * self.down[pos]
 
     def agree(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether the first ``n`` bytes at positions ``a`` and ``b`` have one hash."""
@@ -55,11 +62,19 @@ class Suffixes:
 
     def less(self, x: np.ndarray, y: np.ndarray, ties: bool) -> np.ndarray:
         """Whether suffixes ``x`` sort before ``y``; ``ties`` is the answer for equal ones."""
-        a, b, n = self.pos[x], self.pos[y], np.minimum(self.size[x], self.size[y])
-        out = np.where(self.size[x] == self.size[y], ties, self.size[x] < self.size[y])
-        odd = np.flatnonzero(~self.agree(a, b, n))
+        size_x, size_y = self.size[x], self.size[y]
+        out = np.where(size_x == size_y, ties, size_x < size_y)
+        odd = np.flatnonzero((size_x != size_y) | (self.whole[x] != self.whole[y]))
+        word_x, word_y = self.word[x[odd]], self.word[y[odd]]
+        differ = word_x != word_y
+        out[odd[differ]] = word_x[differ] < word_y[differ]
+        odd = odd[~differ]
+        a, b, n = self.pos[x[odd]], self.pos[y[odd]], np.minimum(size_x[odd], size_y[odd])
+        same = size_x[odd] != size_y[odd]
+        same[same] = self.agree(a[same], b[same], n[same])  # one is a prefix of the other
+        odd, a, b, n = odd[~same], a[~same], b[~same], n[~same]
         if len(odd):
-            a, b, lo, hi = a[odd], b[odd], np.zeros(len(odd), np.int64), n[odd]
+            lo, hi = np.full(len(odd), self.ahead), n
             while True:  # the common extension is at least lo and below hi
                 wide = hi - lo > 1
                 if not wide.any():
@@ -115,8 +130,7 @@ class Suffixes:
         n = len(order)
         x, y = order[:-1], order[1:]
         same = (group[1:] == group[:-1]) & (self.size[x] == self.size[y])
-        maybe = np.flatnonzero(same)
-        maybe = maybe[self.agree(self.pos[x[maybe]], self.pos[y[maybe]], self.size[x[maybe]])]
+        maybe = np.flatnonzero(same & (self.whole[x] == self.whole[y]))
         equal = np.zeros(max(0, n - 1), bool)
         equal[maybe] = True
         wrong = []
@@ -153,8 +167,8 @@ class Stretches:
     """Runs of windows with a common anchor occurrence, for the texts of a block.
 
     ``doc`` (number in the block), ``start`` and ``last`` (first and last window
-    start, in the document), ``at`` (of the first window in ``buf``), ``code``
-    (range of anchors << 32 | 32 bits of the anchor's hash).
+    start, in the document), ``lead`` (from the first window to the anchor),
+    ``code`` (range of anchors << 32 | 32 bits of the anchor's hash).
     """
 
     def __init__(self, texts: list[bytes], span: int, ranges: int):
@@ -174,9 +188,9 @@ class Stretches:
             cols.append(self._runs(parts[place:end], span))
             seg = cols[-1][0] + place
             own, off = np.array(owner), np.array(offset)
-            cols[-1] = (own[seg], cols[-1][1] + off[seg], cols[-1][2] + off[seg], cols[-1][3])
+            cols[-1] = (own[seg], cols[-1][1] + off[seg], cols[-1][2] + off[seg], *cols[-1][3:])
             place = end
-        self.doc, self.start, self.last, anchor = (np.concatenate(x) for x in zip(*cols)) if cols else (np.zeros(0, np.int64),) * 4
+        self.doc, self.start, self.last, self.lead, anchor = (np.concatenate(x) for x in zip(*cols)) if cols else (np.zeros(0, np.int64),) * 5
         code = mix(anchor.astype(np.uint64) ^ _U(0x5BF0A8B145769231))
         self.range = ((code >> _U(32)) % _U(ranges)).astype(np.int64)
         self.code = (self.range << 32) | (code & _U(0xFFFFFFFF)).astype(np.int64)
@@ -196,13 +210,13 @@ class Stretches:
         first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (seg[1:] != seg[:-1])]) if len(s) else np.zeros(0, np.int64)
         end = np.r_[first[1:], len(s)] - 1
         base = bounds[seg[first]]
-        return seg[first], s[first] - base, s[end] - base, h[p[first]]
+        return seg[first], s[first] - base, s[end] - base, p[first] - s[first], h[p[first]]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
+def _blocks(texts) -> Iterator[tuple[int, int, list[bytes]]]:
     held: list[bytes] = []
     at = size = 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(each(texts)):
         b = (t or "").encode("utf-8", "surrogatepass")
         if held and size + len(b) > BLOCK:
             yield at, i, held
@@ -241,7 +255,7 @@ def shared_anchors(rows: DataFrame, span: int, ranges: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _blocks(batch.column(1).to_pylist()):
+            for a, b, texts in _blocks(batch.column(1)):
                 ids = np.asarray(batch.column(0).slice(a, b - a))
                 w = Stretches(texts, span, ranges)
                 order = np.lexsort((ids[w.doc], w.code))
@@ -303,14 +317,14 @@ def repeated(rows: DataFrame, span: int, ranges: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _blocks(batch.column(3).to_pylist()):
+            for a, b, texts in _blocks(batch.column(3)):
                 ids, tags = np.asarray(batch.column(0).slice(a, b - a)), np.asarray(batch.column(1).slice(a, b - a))
                 known = [np.frombuffer(b"".join(x), "<i8") for x in batch.column(2).slice(a, b - a).to_pylist()]
                 w = Stretches(texts, span, ranges)
                 keep = np.zeros(len(w.doc), bool)
                 for (i, j) in _split(w.doc):
                     keep[i:j] = np.isin(w.code[i:j], known[w.doc[i]])
-                doc, start, last, code = w.doc[keep], w.start[keep], w.last[keep], w.code[keep]
+                doc, start, last, lead, code = w.doc[keep], w.start[keep], w.last[keep], w.lead[keep], w.code[keep]
                 # equal stretches in one block: only those of the smallest document travel
                 own = ids[doc].tolist()
                 cut = [texts[d][x : y + span] for d, x, y in zip(doc.tolist(), start.tolist(), last.tolist())]
@@ -335,7 +349,7 @@ def repeated(rows: DataFrame, span: int, ranges: int) -> DataFrame:
                     kind.append(0)
                     spans = b"".join([cut[x] for x in of.tolist()])
                     parts.append(
-                        _pack(ids[doc[of]].astype("<i8"), tags[doc[of]].astype("<i8"), start[of].astype("<i8"), (last[of] - start[of]).astype("<u4"), (code[of] & 0xFFFFFFFF).astype("<u4")) + spans
+                        _pack(ids[doc[of]].astype("<i8"), tags[doc[of]].astype("<i8"), start[of].astype("<i8"), (last[of] - start[of]).astype("<u1"), lead[of].astype("<u1"), (code[of] & 0xFFFFFFFF).astype("<u4")) + spans
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int8()), pa.array(parts, pa.binary())], names=["r", "kind", "part"])
 
@@ -348,12 +362,12 @@ def repeated(rows: DataFrame, span: int, ranges: int) -> DataFrame:
                 tags.append(t)
                 out.append(part[16:])
             else:
-                c, at = _unpack(part, "<i8 <i8 <i8 <u4 <u4")
+                c, at = _unpack(part, "<i8 <i8 <i8 <u1 <u1 <u4")
                 cols.append(c)
                 texts.append(part[at:])
         if cols:
-            doc, tag, start, more, code = (np.concatenate(x) for x in zip(*cols))
-            found = dup_windows(doc, np.frombuffer(b"".join(texts), np.uint8), more.astype(np.int64), code, span)
+            doc, tag, start, more, lead, code = (np.concatenate(x) for x in zip(*cols))
+            found = dup_windows(doc, np.frombuffer(b"".join(texts), np.uint8), more.astype(np.int64), lead.astype(np.int64), code.astype(np.int64), span)
             i, lo, hi = found
             order = np.lexsort((start[i] + lo, tag[i], doc[i]))
             i, lo, hi = i[order], lo[order], hi[order]
@@ -368,17 +382,22 @@ def repeated(rows: DataFrame, span: int, ranges: int) -> DataFrame:
     return sent.groupBy("r").applyInArrow(meet, "id bigint, tag bigint, spans binary")
 
 
-def dup_windows(doc: np.ndarray, buf: np.ndarray, more: np.ndarray, code: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dup_windows(
+    doc: np.ndarray, buf: np.ndarray, more: np.ndarray, lead: np.ndarray, code: np.ndarray, span: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(stretch, from, to)``: bytes of stretches covered by windows of a smaller document.
 
-    ``more`` windows follow the first in each stretch; stretches stand back to
-    back in ``buf``; only stretches of one ``code`` can match.
+    ``more`` windows follow the first in each stretch, its anchor is ``lead``
+    bytes in; stretches stand back to back in ``buf``.  Equal windows have
+    their anchors in one place, so only stretches of one ``code``, and in them
+    windows of one distance to the anchor, are sorted together.
     """
     size = more + span
     pos = np.cumsum(size) - size
-    order = np.argsort(code, kind="stable")
+    kind = (code << 16) | (lead << 8) | more
+    order = np.argsort(kind, kind="stable")
     s = Suffixes(buf, pos[order], size[order])
-    group = np.cumsum(np.r_[False, code[order][1:] != code[order][:-1]])
+    group = np.cumsum(np.r_[False, kind[order][1:] != kind[order][:-1]])
     place = s.sort(group)
     run = s.equal_runs(place, group)
     item = order[place]  # stretches in sorted order
@@ -386,28 +405,43 @@ def dup_windows(doc: np.ndarray, buf: np.ndarray, more: np.ndarray, code: np.nda
     later = doc[item] > np.minimum.reduceat(doc[item], heads)[run]
     whole = item[later]
     # what is left of each run goes on window by window, where its code has several runs
-    variants = np.bincount(group[heads])
-    lead = np.flatnonzero(~later & (variants[group] > 1))
-    rest = item[lead]
+    codes = np.cumsum(np.r_[False, code[item][1:] != code[item][:-1]])
+    variants = np.bincount(codes[heads])
+    rest = item[np.flatnonzero(~later & (variants[codes] > 1))]
+    many = np.cumsum(more[rest] + 1)
+    found = [(whole, np.zeros(len(whole), np.int64), size[whole])]
+    cut = 0
+    while cut < len(rest):
+        end = int(np.searchsorted(many, (many[cut - 1] if cut else 0) + WINDOWS, side="right"))
+        end = max(end, cut + 1)
+        while end < len(rest) and code[rest[end]] == code[rest[end - 1]]:
+            end += 1
+        found.append(_windows(rest[cut:end], doc, buf, pos, more, lead, code, span, s.sums))
+        cut = end
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _windows(rest, doc, buf, pos, more, lead, code, span: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the windows of stretches ``rest``, whole codes at a time."""
     n = more[rest] + 1
     which = np.repeat(np.arange(len(rest)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    wg = group[lead][which]
-    win = Suffixes(buf, pos[rest][which] + step, np.full(len(which), span, np.int64))
-    at = win.sort(wg)
-    run = win.equal_runs(at, wg)
+    kind = (code[rest][which] << 8) | (lead[rest][which] - step)
+    order = np.argsort(kind, kind="stable")
+    which, step, kind = which[order], step[order], kind[order]
+    group = np.cumsum(np.r_[False, kind[1:] != kind[:-1]])
+    win = Suffixes(buf, pos[rest][which] + step, np.full(len(which), span, np.int64), sums)
+    at = win.sort(group)
+    run = win.equal_runs(at, group)
     d = doc[rest][which][at]
-    hit = np.zeros(0, np.int64)
-    if len(at):
-        low = np.minimum.reduceat(d, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
-        hit = np.sort(at[d > low[run]])
+    low = np.minimum.reduceat(d, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
+    hit = at[d > low[run]]
+    hit = hit[np.lexsort((step[hit], which[hit]))]
     # windows next to each other are one stretch of bytes
     w, x = which[hit], step[hit]
     first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1] + 1)]) if len(hit) else hit
     end = np.r_[first[1:], len(hit)] - 1 if len(hit) else hit
-    return (
-        np.r_[whole, rest[w[first]]], np.r_[np.zeros(len(whole), np.int64), x[first]], np.r_[size[whole], x[end] + span]
-    )
+    return rest[w[first]], x[first], x[end] + span
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:

@@ -45,11 +45,20 @@ class Powers:
 POWERS = Powers()
 
 
-def blocks(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Runs of texts in UTF-8 of about ``limit`` bytes: ``(from, to, texts)``."""
+def each(texts) -> Iterator[str | None]:
+    """Values of a list or an Arrow array, of which a few at a time become Python objects."""
+    if isinstance(texts, list):
+        yield from texts
+    else:
+        for a in range(0, len(texts), 256):
+            yield from texts.slice(a, 256).to_pylist()
+
+
+def blocks(texts, limit: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of texts (a list or an Arrow array) in UTF-8 of about ``limit`` bytes: ``(from, to, texts)``."""
     held: list[bytes] = []
     at = size = 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(each(texts)):
         b = (t or "").encode("utf-8", "surrogatepass")
         if held and size + len(b) > limit:
             yield at, i, held
