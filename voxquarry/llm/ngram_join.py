@@ -39,10 +39,6 @@ STARS = 4  # min-hash keys that propose near copies early
 SLACK = 0.99  # ranges compare 32 bits, so two tokens of one text may fall together
 
 
-def _bytes(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    return blocks(texts.to_pylist())
-
-
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs(id, text)`` whose id is in the stored table ``ids(id, ...)``, with its columns."""
     return docs.join(light(ids), "id")
@@ -66,7 +62,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(2 * STARS)]
         for batch in batches:
-            for a, b, texts in _bytes(batch.column(1)):
+            for a, b, texts in blocks(batch.column(1)):
                 size, digest, stars = [], [], []
                 for s in shingle_sets(texts, n):
                     size.append(len(s))
@@ -91,13 +87,13 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             keep = []
             at = 0
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             while at < len(left):
                 end, size = at, 0
-                while end < len(left) and (end == at or size < 4 << 20):
+                while end < len(left) and (end == at or size < 1 << 20):
                     size += len(left[end]) + len(right[end])
                     end += 1
                 # neighbours often share a side: each distinct text is shingled once
@@ -127,7 +123,7 @@ def matrix(rows: DataFrame, ranges: int, share: float, n: int, labelled: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _bytes(batch.column(batch.num_columns - 1)):
+            for a, b, texts in blocks(batch.column(batch.num_columns - 1)):
                 sets = shingle_sets(texts, n)
                 if labelled:
                     q, g, s = (np.asarray(batch.column(i).slice(a, b - a)) for i in range(3))
@@ -322,15 +318,17 @@ def similar_documents(
         opened = (
             found.join(asks, "q").join(hot, "q", "left").where(F.col("c") + F.coalesce("hot", F.lit(0)) >= F.floor(SLACK * j * F.col("na")))
         )
-        opened = cut_lineage(opened.select("q", "na", "g"))
+        opened = cut_lineage(opened.select("q", "na", "g", (F.col("c") + F.coalesce("hot", F.lit(0))).alias("most")))
+        # no member shares more with the query than the group's union does, which bounds the member's size
+        fits = (1 + j) * F.col("most") >= SLACK * j * (F.col("na") + F.col("nb"))
         inside = member.select(F.col("grp").alias("g"), F.col("id").alias("b"), F.col("n").alias("nb"))
         head = inside.groupBy("g").agg(F.min(F.struct("b", "nb")).alias("h")).select("g", "h.b", "h.nb")
         tried = opened.join(head, "g").withColumnRenamed("q", "a")
-        near = cut_lineage(verify(rows, ordered(tried), shingle, percent))
+        near = cut_lineage(verify(rows, ordered(tried.where(fits)), shingle, percent))
         # groups whose first member isn't linked with the query are searched whole
         done = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        open_ = tried.join(done, ["a", "b"], "left_anti").select("a", "na", "g", F.col("b").alias("first"))
-        others = open_.join(inside, "g").where(F.col("b") != F.col("first"))
+        open_ = tried.join(done, ["a", "b"], "left_anti").select("a", "na", "g", "most", F.col("b").alias("first"))
+        others = open_.join(inside, "g").where((F.col("b") != F.col("first")) & fits)
         near = near.union(verify(rows, ordered(others), shingle, percent))
         stems = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = cut_lineage(components(stems.union(near)))
