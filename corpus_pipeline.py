@@ -13,8 +13,6 @@ from voxquarry.llm import bpe, decontaminate, line_dedup, ngram_join, quality_cl
 from voxquarry.llm.queries import table, tokenizer_file
 from voxquarry.session import scratch_path
 
-MIN_LEFT = 0.5  # a document that line dedup leaves with less of its words goes
-
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, accepts."""
@@ -25,11 +23,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without three-line windows that stand earlier in the corpus.
 
-    A document that loses over half of its words is a copy for the most part
-    and goes whole; fragments of copies would look like new documents.
+    Only covered lines go; a document is dropped if they leave it without a
+    word.  Whether what is left nearly copies another document is for the next
+    stage to say.
     """
     out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | (F.col("n_left") >= MIN_LEFT * F.col("n_words")))
+    out = out.where((F.col("n_removed") == 0) | (F.col("n_left") > 0))
     changed = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("clean_text"))}
     return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

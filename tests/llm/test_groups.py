@@ -215,3 +215,13 @@ def test_pipeline(spark, tmp_path):
     assert set(third) - set(fourth) == {102} and set(last) == set(fourth)
     assert all(len(r.ids) == r.n_tokens > 0 for r in last.values())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(last)
+
+
+def test_line_stage_keeps_own_text(spark):
+    """A refrain or a mostly copied page loses the covered lines, not its own text."""
+    verse = ["first line of it", "second line of it", "third line of it"]
+    page = [f"line {k} of a page that is copied" for k in range(9)]
+    rows = [(1, "\n".join(verse * 4)), (2, "\n".join(page)), (3, "\n".join([*page, "words of its own"])), (4, "\n".join(page)), (5, None), (6, "")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.own_lines(spark, docs(spark, rows), "").collect()}
+    want = {1: "\n".join(verse), 2: "\n".join(page), 3: "words of its own", 5: None, 6: ""}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
