@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxquarry.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier
 from voxquarry.llm.queries import table, tokenizer_file
-from voxquarry.session import scratch_path
+from voxquarry.session import cut_lineage, scratch_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,25 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = ngram_join.similar_documents(docs)
-    return ngram_join.without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows that repeat an id and its text stand once; different texts under one
+    id are judged each by its own links.
+    """
+    again = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone")))
+    if again.isEmpty():
+        found = ngram_join.similar_documents(docs)
+        return ngram_join.without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    repeated = docs.join(ngram_join.light(again), docs["doc_id"] == again["gone"], "left_semi")
+    repeated = cut_lineage(repeated.dropDuplicates(["doc_id", "text"]))
+    name = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    keyed = ngram_join.without(docs, again).withColumn("_key", F.col("doc_id").cast("bigint")).union(repeated.withColumn("_key", name))
+    found = ngram_join.similar_documents(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    ids = keyed.where("doc_id IS NOT NULL").select("_key", "doc_id")
+    member = cut_lineage(found.join(ids, "_key"))
+    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("stays")).select(F.col("stays._key").alias("_key"))
+    gone = member.join(first, "_key", "left_anti").select(F.col("_key").alias("gone"))
+    return ngram_join.without(keyed, gone, "_key").drop("_key")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

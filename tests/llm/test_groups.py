@@ -225,3 +225,23 @@ def test_line_stage_keeps_own_text(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.own_lines(spark, docs(spark, rows), "").collect()}
     want = {1: "\n".join(verse), 2: "\n".join(page), 3: "words of its own", 5: None, 6: ""}
     assert got == {i: (t, len(t or "")) for i, t in want.items()}
+
+
+def repeated_ids():
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    return [(3, one), (5, one), (5, two), (5, None), (9, two), (9, two), (7, three), (7, three), (None, three), (None, three)]
+
+
+def test_texts_of_one_id(spark):
+    got = ngram_join.similar_documents(docs(spark, repeated_ids())).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(
+        [(3, 3), (5, 3), (5, 3), (5, 3), (9, 3), (9, 3), (7, 7), (7, 7), (None, None), (None, None)], key=str
+    )
+
+
+def test_pipeline_texts_of_one_id(spark):
+    (_, one), _, (_, two), *_, (_, three) = rows = repeated_ids()
+    got = corpus_pipeline.one_of_each(spark, docs(spark, rows), "")
+    assert got.columns == SCHEMA.replace(",", "").split()[::2]
+    want = [(3, one), (5, None), (5, two), (7, three), (None, three), (None, three)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -261,7 +261,7 @@ def similar_documents(
 
     Null and blank texts: no shingles, linked with nothing.  Null ids: never
     linked, null component.  Rows that repeat an id are one document: the links
-    of all its texts are its links.  Ids are integers; other columns are
+    of all its texts are its links, and all its rows get one component.  Ids are integers; other columns are
     ignored.  No rows: no rows.  Tokens are 64-bit hashes of words.
     """
     spark = docs.sparkSession
@@ -298,6 +298,12 @@ def similar_documents(
     first = found.join(side("a", "q"), "q").join(side("b", "g"), "g").join(hot, "q", "left")
     first = first.where(F.col("c") >= F.floor(SLACK * least_shared))
     links = cut_lineage(verify(rows, ordered(stars).union(ordered(first)), shingle, percent))
+    # the texts of one id belong together
+    known = sets.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high"))
+    several = cut_lineage(known.where("low <> high").select("id"))
+    if not several.isEmpty():
+        held = fetch(named, several).join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+        links = cut_lineage(links.union(held.select(F.col("rep").alias("a"), F.col("id").alias("b"))).distinct())
     labels = cut_lineage(components(links))
 
     # documents whose links hot tokens could hide
@@ -338,8 +344,9 @@ def similar_documents(
             hot.join(asks, "q").where(F.col("hot") >= F.floor(SLACK * j * F.col("na"))).select(F.col("q").alias("id"), F.col("na").alias("n")).distinct()
         )
         limit = None
-    named = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(labels, F.col("rep") == F.col("node"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id"))
+    named = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    named = named.join(labels, F.col("rep") == F.col("node"), "left")
+    own = F.coalesce("label", "rep")
     return named.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")
     )
