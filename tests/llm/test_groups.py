@@ -245,3 +245,13 @@ def test_pipeline_texts_of_one_id(spark):
     assert got.columns == SCHEMA.replace(",", "").split()[::2]
     want = [(3, one), (5, None), (5, two), (7, three), (None, three), (None, three)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_short_texts_with_one_hot_shingle(spark, monkeypatch):
+    """One of two shingles in common makes no link, so the round without hot tokens isn't needed."""
+    limits, matching = [], ngram_join.matching
+    monkeypatch.setattr(ngram_join, "matching", lambda parts, limit, labelled: limits.append(limit) or matching(parts, limit, labelled))
+    rows = [(k, f"posted by the same user x{k}") for k in range(100)] + [(100, "posted by the same user x7")]
+    got = ngram_join.similar_documents(docs(spark, rows), share=1.0).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 7 if k == 100 else k for k in range(101)}
+    assert limits and None not in limits

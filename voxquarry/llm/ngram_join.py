@@ -37,6 +37,7 @@ BROADCAST_BYTES = 16 << 20  # lists of ids up to this size are broadcast, larger
 RANGE_BYTES = 12 << 20  # text bytes per token range in the first round
 STARS = 4  # min-hash keys that propose near copies early
 SLACK = 0.99  # ranges compare 32 bits, so two tokens of one text may fall together
+EXACT = 50  # up to so many tokens that hardly happens, and the bound is the least whole number
 
 
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,6 +57,11 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str | Column = "doc_id") ->
     return docs.join(light(gone), key == gone["gone"], "left_anti")
 
 
+def least(tokens: Column) -> Column:
+    """Whole number of tokens that a count must reach if ``tokens`` are needed."""
+    return F.when(tokens < EXACT, F.ceil(tokens - 1e-6)).otherwise(F.floor(SLACK * tokens))
+
+
 def set_table(docs: DataFrame, n: int) -> DataFrame:
     """``(id, n, d1, d2, stars)``: set size, 128-bit digest of the set, and min-hash keys."""
 
@@ -286,8 +292,7 @@ def similar_documents(
     )
 
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = max(least, -(-bytes_ // RANGE_BYTES))
+    ranges = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // RANGE_BYTES))
     found, hot = matching(matrix(rows.where("id IS NOT NULL"), ranges, share, shingle, False), hot_groups, False)
     by_digest = classes.select("d1", "rep", "n")
 
@@ -309,7 +314,7 @@ def similar_documents(
     # documents whose links hot tokens could hide
     rest = cut_lineage(
         hot.join(by_digest, hot["q"] == by_digest["d1"])
-        .where(F.col("hot") >= F.floor(SLACK * (share - (1 - j)) * j * F.col("n")))
+        .where(F.col("hot") >= least((share - (1 - j)) * j * F.col("n")))
         .select(F.col("rep").alias("id"), "n")
         .distinct()
     )
@@ -322,7 +327,7 @@ def similar_documents(
         found, hot = matching(matrix(texts, ranges, 1.0, shingle, True), limit, True)
         asks = member.select(F.col("id").alias("q"), F.col("n").alias("na"))
         opened = (
-            found.join(asks, "q").join(hot, "q", "left").where(F.col("c") + F.coalesce("hot", F.lit(0)) >= F.floor(SLACK * j * F.col("na")))
+            found.join(asks, "q").join(hot, "q", "left").where(F.col("c") + F.coalesce("hot", F.lit(0)) >= least(j * F.col("na")))
         )
         opened = cut_lineage(opened.select("q", "na", "g", (F.col("c") + F.coalesce("hot", F.lit(0))).alias("most")))
         # no member shares more with the query than the group's union does, which bounds the member's size
@@ -341,7 +346,7 @@ def similar_documents(
         if limit is None:
             break
         rest = cut_lineage(
-            hot.join(asks, "q").where(F.col("hot") >= F.floor(SLACK * j * F.col("na"))).select(F.col("q").alias("id"), F.col("na").alias("n")).distinct()
+            hot.join(asks, "q").where(F.col("hot") >= least(j * F.col("na"))).select(F.col("q").alias("id"), F.col("na").alias("n")).distinct()
         )
         limit = None
     named = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "id"))
