@@ -110,6 +110,16 @@ def test_language(spark):
     assert language_id.identify(docs(spark, []), model).collect() == []
 
 
+def test_rare_language_and_copies_in_the_sample(spark):
+    rows = [(i, "the same thing was copied", "s", "en") for i in range(600)] + [(600 + i, "das schöne ding", "s", "de") for i in range(2)]
+    model = language_id.train(docs(spark, rows), max_docs=100)
+    assert model.langs == ["de", "en"]
+    got = language_id.identify(docs(spark, [(1, "schöne ding", "s", None)]), model).collect()
+    assert got[0].lang_pred == "de"
+    assert language_id.per_language({"a": 1000, "b": 3, "c": 500}, 103) == 50
+    assert language_id.per_language({"a": 10, "b": 3}, 100) == 10 and language_id.per_language({}, 5) == 0
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -172,17 +172,43 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, penalty: float) -> n
     return out
 
 
+def per_language(counts: dict[str, int], max_docs: int) -> float:
+    """The number of texts that each language may give so that all give ``max_docs``; rarer languages give all theirs."""
+    left, sizes = float(max_docs), sorted(counts.values())
+    for k, n in enumerate(sizes):
+        if n * (len(sizes) - k) > left:
+            return left / (len(sizes) - k)
+        left -= n
+    return float(max(sizes, default=0))
+
+
 def train(
-    docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_docs: int = 20_000, min_script_share: float = 0.01
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    lang_col: str = "lang",
+    text_col: str = "text",
+    max_docs: int = 20_000,
+    min_script_share: float = 0.01,
 ) -> Model:
-    """Trigram and script counts of labelled texts; ``max_docs`` bounds the (hash-drawn) sample in expectation."""
+    """Trigram and script counts of labelled texts; ``max_docs`` bounds the (hash-drawn) sample in expectation.
+
+    Each language gives the same number of texts, or all if it has fewer.  Rows
+    are drawn by id and text, so copies of a text come one by one.
+    """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
+    # one row per language: bounded by the model's size
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = per_language(sizes, max_docs)
+    cuts = [(lang, int((1 << 20) * most / n)) for lang, n in sizes.items() if n > most]
+    if cuts:
+        share = F.create_map(*[F.lit(x) for pair in cuts for x in pair])
+        drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1 << 20))
+        rows = rows.where(drawn)
+    rows = rows.select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
