@@ -4,7 +4,9 @@ A text is searched for windows as long as a benchmark item and within a small
 edit distance of it, in words.  A CGK random walk (each symbol's random bit
 says whether the reader moves on) turns edit distance into Hamming distance;
 bit-sampling keys of several walks collide for near windows with a chosen
-probability; each collision is verified by exact edit distance.
+probability; each collision is verified by exact edit distance.  Positions are
+drawn over all ``3 * m`` steps, and walks end after about ``2 * m``: keys that
+lie behind are equal for all windows of a length, so keys hardly filter.
 
 Two lossless bounds limit the windows that are embedded.  Within ``k`` edits
 an item keeps one of ``k + 1`` equal pieces whole, so a window must hold an
