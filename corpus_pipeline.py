@@ -6,7 +6,7 @@ benchmark decontamination, token ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxquarry.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier
@@ -20,6 +20,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_classifier.accepted(docs, model)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row in one, so that names of a user's columns never meet those of a stage."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("user")
+
+
+def row_key() -> Column:
+    """128 bits that tell rows of different id or text apart, nulls included."""
+    id_, text = F.col("doc_id").cast("string"), F.col("text")
+    one = F.xxhash64(id_, text, id_.isNull(), text.isNull())
+    return F.concat(F.hex(one), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text, text.isNull(), id_, id_.isNull())))
+
+
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without three-line windows that stand earlier in the corpus.
 
@@ -27,10 +39,11 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     word.  Whether what is left nearly copies another document is for the next
     stage to say.
     """
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", whole_row(docs)))
     out = out.where((F.col("n_removed") == 0) | (F.col("n_left") > 0))
-    changed = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("clean_text"))}
-    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    before = F.col("user.n_chars") if "n_chars" in docs.columns else F.lit(None)
+    changed = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") == 0, before).otherwise(F.length("clean_text"))}
+    return out.select(*[changed.get(c, F.col(f"user.`{c}`")).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,22 +56,24 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         found = ngram_join.similar_documents(docs)
         return ngram_join.without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
-    repeated = docs.join(ngram_join.light(again), docs["doc_id"] == again["gone"], "left_semi")
+    packed = docs.select("doc_id", "text", whole_row(docs))
+    repeated = packed.join(ngram_join.light(again), packed["doc_id"] == again["gone"], "left_semi")
     repeated = cut_lineage(repeated.dropDuplicates(["doc_id", "text"]))
     name = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
-    keyed = ngram_join.without(docs, again).withColumn("_key", F.col("doc_id").cast("bigint")).union(repeated.withColumn("_key", name))
+    keyed = ngram_join.without(packed, again).withColumn("_key", F.col("doc_id").cast("bigint")).union(repeated.withColumn("_key", name))
     found = ngram_join.similar_documents(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
     ids = keyed.where("doc_id IS NOT NULL").select("_key", "doc_id")
     member = cut_lineage(found.join(ids, "_key"))
     first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("stays")).select(F.col("stays._key").alias("_key"))
     gone = member.join(first, "_key", "left_anti").select(F.col("_key").alias("gone"))
-    return ngram_join.without(keyed, gone, "_key").drop("_key")
+    return ngram_join.without(keyed, gone, "_key").select(*[F.col(f"user.`{c}`").alias(c) for c in docs.columns])
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return ngram_join.without(docs, leaks.select(F.col("doc_id").alias("gone")))
+    """Documents that hold no benchmark item; rows are judged by their own text, whatever ids are null or shared."""
+    keyed = docs.select(row_key().alias("key"), "text")
+    leaks = decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    return ngram_join.without(docs, leaks.select(F.col("key").alias("gone")), row_key())
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
