@@ -255,3 +255,24 @@ def test_short_texts_with_one_hot_shingle(spark, monkeypatch):
     got = ngram_join.similar_documents(docs(spark, rows), share=1.0).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: 7 if k == 100 else k for k in range(101)}
     assert limits and None not in limits
+
+
+def test_pipeline_rows_and_columns(spark, tmp_path):
+    """A null or shared id doesn't hide or spread a leak; a user's columns come through every stage."""
+    item = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, leak = " ".join(f"own{k}" for k in range(40)), "before " + item + " after"
+    rows = [(None, leak), (None, clean), (7, leak), (7, clean), (8, clean + " more"), (9, None)]
+    cols = ["n_words", "n_lines", "n_removed", "n_spans", "n_left", "clean_text", "_key", "user", "gone", "key"]
+    df = spark.createDataFrame([(i, t, len(t or ""), *[f"{c} {k}" for c in cols]) for k, (i, t) in enumerate(rows)],
+                               "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in cols))
+    mine = {(r.doc_id, r.text): [r[c] for c in cols] for r in df.collect()}
+    for stage in (corpus_pipeline.no_benchmark, corpus_pipeline.own_lines, corpus_pipeline.one_of_each):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        got = {(r.doc_id, r.text): [r[c] for c in cols] for r in out.collect()}
+        assert all(mine[k] == v for k, v in got.items())
+        if stage is corpus_pipeline.no_benchmark:
+            assert set(got) == {(None, clean), (7, clean), (8, clean + " more"), (9, None)}
+        if stage is corpus_pipeline.own_lines:
+            assert set(got) == set(mine)

@@ -46,8 +46,9 @@ def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def light(ids: DataFrame) -> DataFrame:
-    """A stored list of ids, to be broadcast if it is small; else the join shuffles."""
-    return F.broadcast(ids) if ids.count() * 40 <= BROADCAST_BYTES else ids
+    """A stored list of ids, to be broadcast if its rows, written out, are small; else the join shuffles."""
+    held = ids.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64)).first()[0] or 0
+    return F.broadcast(ids) if held <= BROADCAST_BYTES else ids
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str | Column = "doc_id") -> DataFrame:
