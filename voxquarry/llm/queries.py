@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hard_negatives, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, spelling, suffix_dedup, token_files, warc
+from . import bpe, decontaminate, hard_negatives, html_extract, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, spelling, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants")
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
+@query("op11_html_extract")
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
