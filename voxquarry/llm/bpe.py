@@ -14,9 +14,13 @@ the splice exact.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package, spread
 
 LEAF = 64  # bytes of a word that are merged at once
-CACHE = 350_000  # chunks in a generation of a worker's cache
+CACHE = 48 << 20  # bytes in a generation of a task's cache
 SLICE = 2 << 20  # characters handled between two output batches
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = "!-~\u00a1-\u012f\u0131-\u017f"
@@ -35,7 +39,20 @@ NONE = 1 << 24  # above the rank of any merge
 
 
 class Codec:
-    """Encoder of one tokenizer file; one per Python worker."""
+    """Encoder of one tokenizer file; one per running task.
+
+    Workers are reused by later stages, so at the end of its ``with`` block a
+    codec frees its tables and its cache and hands the pages back to the system.
+    """
+
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.__dict__.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,13 +68,13 @@ class Codec:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or model["end_of_word_suffix"] != "</w>":
             raise ValueError(f"{path}: not a lower-casing BPE with word ends")
         vocab = model["vocab"]
-        self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.vocab, self.added = vocab, {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.ids = 1 + max(max(vocab.values()), max(self.added, default=0))
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.words = regex.compile(split["pattern"]["Regex"] + r"|\n")
         #: characters for which normalising is lower() and categories are settled
         self.plain = regex.compile("[" + PLAIN + "]+")
         self.plain_lines = regex.compile("[" + PLAIN + r"\n]+")
-        self.digits = {i: str(i) for i in self.tokens}
         letters = byte_letters()
         self.byte = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + "</w>"] for c in letters], np.int64)
@@ -67,13 +84,19 @@ class Codec:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.by_rank = key[order], order.astype(np.int64), made
-        size = {}
-        for a, b in pairs:
-            size[vocab[a + b]] = len((a + b).removesuffix("</w>"))
-        self.width = size
+        self.width = np.ones(self.ids, np.int64)
+        self.width[made] = [len((a + b).removesuffix("</w>")) for a, b in pairs]
         self.cache: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
-        self.limit = CACHE
+        self.limit, self.held = CACHE, 0
+
+    @cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in self.vocab.items()} | self.added
+
+    @cached_property
+    def digits(self) -> dict[int, str]:
+        return {i: str(i) for i in self.tokens}
 
     def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or NONE."""
@@ -132,7 +155,7 @@ class Codec:
         return np.split(flat, np.cumsum(count)[:-1])
 
     def widths(self, ids: np.ndarray) -> np.ndarray:
-        return np.array([self.width.get(i, 1) for i in ids.tolist()], np.int64)
+        return self.width[ids]
 
     def join(self, left: np.ndarray, right: np.ndarray, text: bytes, cut: int, final: bool) -> np.ndarray:
         """Ids of ``text`` from those of ``text[:cut]`` and ``text[cut:]``."""
@@ -259,14 +282,16 @@ class Codec:
         A full generation becomes the old one, from which words in use come
         back, so frequent words are encoded once per worker.
         """
-        if len(self.cache) > self.limit:
-            self.old, self.cache = self.cache, {}
+        if self.held > self.limit:
+            self.old, self.cache, self.held = self.cache, {}, 0
         missing = chunks.difference(self.cache)
         known = missing.intersection(self.old)
         self.cache.update(zip(known, map(self.old.__getitem__, known)))
         new = list(missing.difference(known))
         if new:
             self.cache.update(zip(new, make(*self.encode_chunks(new))))
+        # an entry of c characters holds about 6 c bytes of ids or texts besides its objects
+        self.held += 200 * len(missing) + 6 * sum(map(len, missing))
         return self.cache
 
 
@@ -284,14 +309,19 @@ def split_text(text: str) -> list[str]:
     return text.split()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def codec(path: str) -> Codec:
+    """A codec of one's own, best held by a ``with`` block."""
+    return Codec(path)
+
 
+def in_task(path: str, work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(codec, batches)`` as a function of the batches alone, with a codec of its own."""
 
-def codec(path: str, use: str = "") -> Codec:
-    """The worker's codec; each use has a cache of its own."""
-    if (path, use) not in _CODECS:
-        _CODECS[path, use] = Codec(path)
-    return _CODECS[path, use]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with codec(path) as c:
+            yield from work(c, batches)
+
+    return run
 
 
 def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -367,10 +397,8 @@ def encode(
 
         return make
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "raw" if plain else "text")
+    def whole(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = raw_entries if plain else entry(c)
-        c.limit = CACHE if plain else CACHE // 2  # entries with texts are twice as large
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE // 2):
@@ -392,11 +420,10 @@ def encode(
                 )
 
     size = F.length(F.coalesce("_text", F.lit("")))
-    short = rows.where(size <= parallel_chars).mapInArrow(whole, out_ddl)
+    short = rows.where(size <= parallel_chars).mapInArrow(in_task(path, whole), out_ddl)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaves(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of about ``leaf_chars``: whole chunks, or a stretch of one long word with its number."""
-        c = codec(path, "text")
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[tuple] = []
@@ -429,8 +456,7 @@ def encode(
                         names=["key", "seq", "word", "final", "piece"],
                     )
 
-    def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "text")
+    def encode_leaves(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
@@ -442,7 +468,10 @@ def encode(
                 yield row.append_column("ids", pa.array([ids.astype(np.int32).tobytes()], pa.binary()))
 
     def join_leaves(group: pa.Table) -> pa.Table:
-        c = codec(path, "text")
+        with codec(path) as c:
+            return joined_text(c, group)
+
+    def joined_text(c: Codec, group: pa.Table) -> pa.Table:
         rows = group.sort_by("seq").to_pylist()
         parts, at = [], 0
         while at < len(rows):
@@ -461,9 +490,9 @@ def encode(
 
     long = rows.where(size > parallel_chars)
     cut = long.select(F.xxhash64("_text").alias("key"), "_text").dropDuplicates(["_text"])
-    cut = cut.mapInArrow(leaves, "key bigint, seq bigint, word bigint, final boolean, piece binary")
+    cut = cut.mapInArrow(in_task(path, leaves), "key bigint, seq bigint, word bigint, final boolean, piece binary")
     cut = spread(cut, "key", "seq").mapInArrow(
-        encode_leaves, "key bigint, seq bigint, word bigint, final boolean, piece binary, ids binary"
+        in_task(path, encode_leaves), "key bigint, seq bigint, word bigint, final boolean, piece binary, ids binary"
     )
     joined = cut.groupBy("key").applyInArrow(join_leaves, ", ".join(["key bigint", *[f"`{c}` {DDL[c]}" for c in want]]))
     blank = outputs("", "", want)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
-from .bpe import codec, slices, split_text
+from .bpe import Codec, in_task, slices, split_text
 
 SHARD_DDL = (
     "part int, shard int, first_key bigint, last_key bigint, n_null int, n_docs int, n_tokens bigint, "
@@ -151,9 +151,8 @@ def write_ids(
         cuts = rows.select(F.percentile_approx("key", at, max(10_000, 20 * parts))).first()[0] or []
     borders = np.unique(np.array(cuts, np.int64))
 
-    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "binary")
-        dtype = "<u2" if max(c.tokens) < 1 << 16 else "<u4"
+    def to_ids(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = "<u2" if c.ids <= 1 << 16 else "<u4"
         tail = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
         def make(ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -209,7 +208,7 @@ def write_ids(
         if held:
             yield flush()
 
-    ids = rows.mapInArrow(to_ids, "part int, key bigint, ids binary, width int")
+    ids = rows.mapInArrow(in_task(path, to_ids), "part int, key bigint, ids binary, width int")
     ids = ids.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "ids")
     ids.mapInArrow(pack, SHARD_DDL).write.option("compression", "zstd").parquet(out)
     return out
