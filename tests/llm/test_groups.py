@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from voxquarry.llm import graph, ngram_join, suffix_dedup
+from voxquarry.llm import graph, ngram_join, suffix_dedup, tokens
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, label string, rep string"
 
@@ -71,6 +71,42 @@ def test_ngram_join(spark, share, hot, later):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == naive_classes(rows)
 
 
+def almost_alike(n, shared=80, size=92):
+    """Texts that share their first words: Jaccard 76 / 100 for 80 of 92, so none are linked."""
+    base = [f"w{k}" for k in range(shared)]
+    return [(i, " ".join(base + [f"u{i}x{k}" for k in range(size - shared)])) for i in range(n)]
+
+
+def test_almost_alike(spark):
+    """No links, a class of copies among them, and links that only the frequent tokens show."""
+    rows = almost_alike(250)
+    rows += [(1000 + k, rows[3][1] + " more") for k in range(3)]
+    rng = random.Random(4)
+    base = rows[0][1].split()[:80]
+    rows += [(2000 + k, " ".join(base[: 80 - rng.randint(0, 9)] + [f"y{k}z{m}" for m in range(rng.randint(0, 9))])) for k in range(150)]
+    for hot, later in ((8, 32), (2, 3)):
+        got = ngram_join.similar_documents(docs(spark, rows), hot_groups=hot, hot_groups_later=later).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == naive_classes(rows)
+
+
+@pytest.mark.parametrize("n", [250, 500, 1000])
+def test_work_on_almost_alike(n):
+    """Rows grow in proportion: none are left by the first bound; of those that it can't tell apart, groups are asked, not documents."""
+    for shared, kind in ((80, "apart"), (82, "near")):
+        sets = tokens.shingle_sets([t.encode() for _, t in almost_alike(n, shared)])
+        tok = tokens.mix(np.concatenate(sets)).astype(np.uint32)
+        q = np.repeat(np.arange(n), [len(s) for s in sets])
+        ids, _, c = ngram_join.shared_elsewhere(tok, q, q, np.full(len(q), 91), 5)
+        assert len(ids) == n and (c == shared - 4).all()
+        left = (1.8 * c >= 0.99 * 0.8 * (88 + 88)).sum()
+        assert left == (0 if kind == "apart" else n)
+        size = int(n**0.5)
+        found = ngram_join.group_overlaps(tok, q, q // size, np.full(len(q), 1), np.full(len(q), 1))
+        assert len(found[0]) <= n * (n // size + 1)
+        own = (found[1] == found[0] // size)
+        assert (found[2][~own] == shared - 4).all()
+
+
 def test_ngram_join_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(5, text), (5, text), (3, text), (None, text), (8, None), (9, None), (4, "unlike"), (4, text + " end")]
