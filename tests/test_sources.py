@@ -1,5 +1,7 @@
 """File formats: volumes, results, splits, metrics."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -101,3 +103,64 @@ def test_progress_over_arriving_files(spark, tmp_path):
         assert spark.table("progress_rows").first().asDict() == {"mode": "raw", "n": 3, "mean": 0.5, "empty": 1}
     finally:
         q.stop()
+
+
+def test_volume_pruning(spark, tmp_path):
+    """Wanted slices come from a table; other cases' files aren't opened and other slices' bytes not read."""
+    made = write_cases(tmp_path / "npy")
+    root = str(tmp_path / "npy")
+    wanted = [("s0000", 1), ("s0000", 2), ("s0000", 4), ("s0002", 0), ("s0002", 0), ("s0002", 9), ("gone", 1)]
+    slices = spark.createDataFrame(wanted, "case_id string, z int")
+    for size in (200, 1 << 20):
+        got = {(r.case_id, r.z): r.px for r in vol.volume_ingest(spark, root, slices=slices, bytes_per_task=size).collect()}
+        assert set(got) == {("s0000", 1), ("s0000", 2), ("s0000", 4), ("s0002", 0)}
+        assert all(np.allclose(np.array(px).reshape(4, 6), made[c][0][z]) for (c, z), px in got.items())
+    one = vol.volume_ingest(spark, root, cases="case_id = 's0001'")
+    other = vol.volume_ingest(spark, root, cases="case_id > 's0001'")
+    assert sorted({r.case_id for r in one.union(other).where("z < 3").collect()}) == ["s0001", "s0002"]
+    assert vol.volume_ingest(spark, root, cases="case_id = 'none'").count() == 0
+    assert vol.volume_ingest(spark, root, slices=slices.where("false")).count() == 0
+
+    def read(**more):
+        listing = vol.manifest(spark, root, "ct", **more).stage_path
+        reader = vol.NpyVolumeReader({"path": root, "manifest": listing})
+        return sum(b.num_rows for p in reader.partitions() for b in reader.read(p)), reader.bytes_read
+
+    slice_bytes = 4 * 6 * 4
+    assert read() == (15, 15 * slice_bytes)
+    assert read(cases="case_id = 's0002'") == (5, 5 * slice_bytes)
+    assert read(slices=slices) == (4, 4 * slice_bytes)
+    assert read(slices=slices, cases="case_id = 's0002'") == (1, slice_bytes)
+
+
+def test_case_documents(spark, tmp_path):
+    from voxquarry.sources import documents as dc
+
+    rows = [(f"s{k % 3}", str(k), '{"v": %d}' % k) for k in range(12)] + [("big case", str(k), '{"v": 1}') for k in range(3000)]
+    df = spark.createDataFrame(rows, dc.SCHEMA).repartition(7)
+    root = str(tmp_path / "docs")
+    for _ in range(2):  # written again, they are replaced
+        dc.write_documents(df, root, "d.json")
+        back = dc.read_documents(spark, root, "d.json", "map<string,struct<v:int>>")
+        assert sorted((r.case_id, r.key, r.value.v) for r in back.collect()) == sorted((c, k, int(b[6:-1])) for c, k, b in rows)
+    assert sorted(os.listdir(root)) == ["big case", "s0", "s1", "s2"] and os.listdir(f"{root}/s0") == ["d.json"]
+
+
+@pytest.mark.parametrize("bad", [("s1", "5", None), ("s1", "1", "{}"), ("../out", "1", "{}"), (None, "1", "{}")])
+def test_failed_documents_leave_no_file(spark, tmp_path, bad):
+    from voxquarry.sources import documents as dc
+
+    rows = [(f"s{k}", "1", "{}") for k in range(20)] + [bad]
+    with pytest.raises(Exception):
+        dc.write_documents(spark.createDataFrame(rows, dc.SCHEMA), str(tmp_path / "docs"), "d.json")
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files]
+
+
+def test_case_in_several_tasks_leaves_no_file(tmp_path):
+    from voxquarry.sources import documents as dc
+
+    writer = dc.CaseDocumentWriter({"path": str(tmp_path), "file": "d.json"})
+    messages = [writer.write(iter([("s1", str(k), "{}")])) for k in range(2)]
+    with pytest.raises(ValueError):
+        writer.commit(messages)
+    assert not os.listdir(tmp_path)

@@ -11,7 +11,9 @@ from ..operators import labels as lb
 from ..operators import learning as ml
 from ..operators import sampling as sp
 from ..operators import slices as sl
+from ..operators import voxels as vx
 from ..session import cut_lineage, scratch_path, ship_package
+from ..sources import documents as dc
 from ..sources import tables as tb
 from ..sources import volumes as vol
 from .fixtures import D, H, W
@@ -48,6 +50,17 @@ def _(d):
     return vol.volume_ingest(d.spark, write_case_files(d), kind="mask", emit="voxels")
 
 
+@query(
+    "volume_slices_needed",
+    """SELECT concat('c', cast(case_id AS varchar)) AS case_id, cast(mask_id AS int) AS mask_id, cast(z AS int) AS z, cast(y AS int) AS y, cast(x AS int) AS x
+       FROM gt g WHERE EXISTS (SELECT 1 FROM gt t WHERE t.case_id = g.case_id AND t.z = g.z AND t.mask_id = 3 AND t.x < 3)""",
+)
+def _(d):
+    """Only the slices on which a label touches the margin are read from the files."""
+    wanted = vx.slice_needed(d.gt.where("mask_id = 3 AND x < 3")).withColumn("case_id", F.concat(F.lit("c"), "case_id"))
+    return vol.volume_ingest(d.spark, write_case_files(d), kind="mask", emit="voxels", slices=wanted)
+
+
 @query("case_scan", f"SELECT DISTINCT concat('c', cast(case_id AS varchar)) AS case_id, 'mask' AS kind, cast({D * H * W * 4 + 128} AS bigint) AS length FROM gt")
 def _(d):
     return tb.case_scan(d.spark, write_case_files(d)).select("case_id", "kind", "length")
@@ -131,6 +144,37 @@ def _(d):
     return rounded(flat, 9)
 
 
+AUX_NUMBERS = ["z1", "y1", "x1", "z2", "y2", "x2", "cz", "cy", "cx"]
+
+
+@query(
+    "aux_case_documents",
+    f"""WITH {comp_sql('gt')}, {AUX} SELECT cast(case_id AS varchar) AS case_id, mask_id, existence, array_to_string(slice_exist, '') AS flags,
+        {', '.join(f'round({c}, 9) AS {c}' for c in AUX_NUMBERS)}, round(z1, 9) AS z_lo, round(z2, 9) AS z_hi, round(volume, 9) AS volume, component_count FROM aux""",
+)
+def _(d):
+    """All numbers of the auxiliary labels through one JSON file per case and back."""
+    root = scratch_path(d.spark, "aux-documents")
+    dc.write_aux_documents(aux_of(d), root)
+    flags = F.array_join(F.transform("slice_exist", lambda v: v.cast("string")), "").alias("flags")
+    back = dc.read_aux_documents(d.spark, root)
+    return rounded(back.select("case_id", "mask_id", "existence", flags, *AUX_NUMBERS, "z_lo", "z_hi", "volume", "component_count"), 9)
+
+
+@query(
+    "box_case_documents",
+    f"""WITH b AS ({FIXED_BOX}), n AS (SELECT case_id, mask_id, count(*) AS c FROM gt GROUP BY case_id, mask_id)
+        SELECT cast(b.case_id AS varchar) AS case_id, b.mask_id, m AS mode, 'a "quoted", text' AS prompt, cast(b.z AS int) AS z, x1, y1, x2, y2,
+          n.c AS gt_pos, n.c - 1 AS pred_pos FROM b JOIN n USING (case_id, mask_id), (SELECT unnest(['raw', 'structured']) AS m)""",
+)
+def _(d):
+    """Boxes of every target and mode through one nested JSON file per case and back."""
+    root = scratch_path(d.spark, "box-documents")
+    both = F.explode(F.array(F.lit("raw"), F.lit("structured")))
+    dc.write_box_documents(box_rows(d).withColumn("mode", both), D, root)
+    return dc.read_box_documents(d.spark, root, D)
+
+
 @query("split_list_io", "SELECT DISTINCT concat('s', cast(o_custkey AS varchar)) AS case_id FROM orders")
 def _(d):
     path = scratch_path(d.spark, "split")

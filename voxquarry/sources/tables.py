@@ -43,9 +43,19 @@ def text_map_explode(files: DataFrame, json: str = "json") -> DataFrame:
 def boxes_pack(boxes: DataFrame, d: int) -> DataFrame:
     """Per-slice boxes -> one JSON document per target, gaps as null, length ``d``.
 
-    Input: case_id, mask_id, mode, prompt, z, x1..y2 (NULL = no box), gt_pos,
-    pred_pos.  A document holds the d slices of one target; documents of a
-    case are not gathered, so a large case stays many rows.
+    A document holds the d slices of one target; documents of a case are not
+    gathered, so a large case stays many rows (``sources.documents`` writes
+    one file a case).
+    """
+    entries = box_entries(boxes, d)
+    nested = F.create_map(F.col("mask_id").cast("string"), F.create_map(F.col("mode"), F.col("entry")))
+    return entries.select("case_id", F.to_json(nested, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def box_entries(boxes: DataFrame, d: int) -> DataFrame:
+    """``case_id, mask_id, mode, entry``: prompt, ``d`` slots and counts of each target and mode.
+
+    Input: case_id, mask_id, mode, prompt, z, x1..y2 (NULL = no box), gt_pos, pred_pos.
     """
     has = F.col("x1").isNotNull()
     per_mode = boxes.groupBy(*TARGET, "mode").agg(
@@ -60,14 +70,7 @@ def boxes_pack(boxes: DataFrame, d: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(d - 1)),
         lambda z: F.try_element_at(F.map_from_entries(F.col("items")), z),
     )
-    entry = F.struct("prompt", slots.alias("boxes"), "gt_pos", "pred_pos")
-    return per_mode.select(
-        "case_id",
-        F.to_json(
-            F.create_map(F.col("mask_id").cast("string"), F.create_map(F.col("mode"), entry)),
-            {"ignoreNullFields": "false"},
-        ).alias("json"),
-    )
+    return per_mode.select(*TARGET, "mode", F.struct("prompt", slots.alias("boxes"), "gt_pos", "pred_pos").alias("entry"))
 
 
 def boxes_explode(docs: DataFrame, d: int, json: str = "json") -> DataFrame:
@@ -88,15 +91,20 @@ def boxes_explode(docs: DataFrame, d: int, json: str = "json") -> DataFrame:
     )
 
 
-def aux_to_json(aux: DataFrame) -> DataFrame:
-    """Auxiliary labels -> one JSON object per target, keyed by mask id."""
-    body = F.struct(
+def aux_body() -> Column:
+    """All numbers of one target's auxiliary labels."""
+    return F.struct(
         "existence", "slice_exist",
         F.array("z1", "y1", "x1", "z2", "y2", "x2").alias("bbox_3d"),
         F.array("cz", "cy", "cx").alias("centroid_3d"),
         F.array("z_lo", "z_hi").alias("z_range"),
         "volume", "component_count",
     )
+
+
+def aux_to_json(aux: DataFrame) -> DataFrame:
+    """Auxiliary labels -> one JSON object per target, keyed by mask id."""
+    body = aux_body()
     return aux.select("case_id", F.to_json(F.create_map(F.col("mask_id").cast("string"), body)).alias("json"))
 
 
