@@ -47,7 +47,7 @@ from .tokens import blocks, mix, shingle_sets
 BROADCAST_BYTES = 16 << 20  # lists of ids up to this size are broadcast, larger ones are joined by shuffle
 RANGE_BYTES = 12 << 20  # text bytes per token range in the first round
 WIDTH = 1.05  # ratio of sizes in a size class
-RANGES = 16  # least number of token ranges in the second round
+LATER_BYTES = 4 << 20  # text bytes per token range in the second round, where documents stand in every range they have tokens in
 GROUP_BYTES = 4 << 20  # text of a group in the second round, one longer text excepted
 BLOCK = 1024  # queries that meet a group at once
 STARS = 4  # min-hash keys that propose near copies early
@@ -362,7 +362,7 @@ def hidden_links(member: DataFrame, rows: DataFrame, n: int, percent: int, least
     j = percent / 100
 
     def ranges() -> int:
-        return max(RANGES, -(-(member.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES))
+        return max(2, -(-(member.agg(F.sum("bytes")).first()[0] or 0) // LATER_BYTES))
 
     for _ in range(2):  # what one document gives up, another may have needed
         member = cut_lineage(survivors(member, rows, ranges(), n, j))
