@@ -43,8 +43,8 @@ def bbox2d_adaptive(
 
 
 def hash_number(key: Column) -> Column:
-    """First 32 bits of the SHA-256 of a text: a draw that any engine can repeat."""
-    return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the SHA-256 of a text: a draw that any engine can repeat, for classes of any size."""
+    return F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint")
 
 
 def bbox_jitter(boxes: DataFrame, h: int, w: int, n: int = 5, px: int = 3, seed: int = 0) -> DataFrame:

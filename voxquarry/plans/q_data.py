@@ -10,6 +10,7 @@ from ..operators import boxes as bx
 from ..operators import labels as lb
 from ..operators import learning as ml
 from ..operators import sampling as sp
+from ..operators import shuffle as sh
 from ..operators import slices as sl
 from ..operators import voxels as vx
 from ..session import cut_lineage, scratch_path, ship_package
@@ -311,7 +312,7 @@ def _(d):
 
 
 def _draw(*parts):
-    return f"('0x' || substr(sha256(concat_ws('|', {', '.join(map(str, parts))})), 1, 8))::bigint"
+    return f"('0x' || substr(sha256(concat_ws('|', {', '.join(map(str, parts))})), 1, 15))::bigint"
 
 
 @query(
@@ -326,6 +327,35 @@ def _(d):
     return sp.posneg_sample(slice_flags(d), seed=3)
 
 
+def feistel_sql(rows: str, seed: int, epoch: int) -> str:
+    """Checking SQL of the epoch order: numbered ``rows`` go round by round, those outside 0..n-1 again."""
+    parts = [f"""nm AS (SELECT *, row_number() OVER (ORDER BY case_id, mask_id, z) - 1 AS number FROM ({rows})),
+        sz AS (SELECT count(*) AS n, cast(floor(sqrt(count(*) - 1)) AS bigint) + 1 AS a FROM nm),
+        sd AS (SELECT n, a, cast(ceil(n / a::double) AS bigint) AS b FROM sz),
+        start AS (SELECT number, number AS x, n, a, b, true AS outside FROM nm, sd)"""]
+    inner = "SELECT number, n, a, b, x % a AS l, x // a AS r FROM walk WHERE outside"
+    for k, (f, g, h) in enumerate(sh.keys_of(seed, epoch)):
+        stays, moves, size = ("r", "l", "a") if k % 2 == 0 else ("l", "r", "b")
+        inner = f"""SELECT * REPLACE (({moves} + ((({stays} % {sh.PRIME} * {f} + {g}) % {sh.PRIME}) * (({stays} % {sh.PRIME} * {f} + {g}) % {sh.PRIME}) + {h})
+          % {sh.PRIME}) % {size} AS {moves}) FROM ({inner})"""
+    parts.append(f"walk AS (SELECT * FROM start UNION ALL SELECT number, r * a + l AS x, n, a, b, r * a + l >= n FROM ({inner}))")
+    return ",\n".join(parts)
+
+
+EPOCH = (5, 2)  # seed and epoch
+
+
+@query(
+    "epoch_order",
+    f"""WITH RECURSIVE {AUX_FLAGS}, {feistel_sql('SELECT * FROM fl', *EPOCH)}
+        SELECT case_id, mask_id, z, is_positive, number, x AS place FROM nm JOIN walk USING (number) WHERE NOT outside""",
+)
+def _(d):
+    rows = sh.numbered(slice_flags(d), [*T, "z"])
+    n = rows.count()
+    return sh.epoch_order(rows, n, *EPOCH).select(*T, "z", "is_positive", "number", "place")
+
+
 @query(
     "posneg_sample_counts",
     f"WITH {AUX_FLAGS}, n AS (SELECT count(*) AS n, cast(round_even(count(*) * 0.7, 0) AS bigint) AS p FROM fl) SELECT 1 AS is_positive, p AS draws FROM n UNION ALL SELECT 0, n - p FROM n",

@@ -195,7 +195,7 @@ def _(d):
 
 
 JITTER = f"""jb AS (SELECT case_id, mask_id, z, cast(c AS int) AS copy, {', '.join(
-    f"('0x' || substr(sha256(concat_ws('|', 7, case_id, mask_id, z, c, {i})), 1, 8))::bigint % 7 - 3 AS o{i}" for i in range(4))}, x1, y1, x2, y2
+    f"('0x' || substr(sha256(concat_ws('|', 7, case_id, mask_id, z, c, {i})), 1, 15))::bigint % 7 - 3 AS o{i}" for i in range(4))}, x1, y1, x2, y2
    FROM ({FIXED_BOX}) CROSS JOIN (SELECT unnest(range(5)) AS c)),
    jitter AS (SELECT case_id, mask_id, z, copy, cast(greatest(0, x1 + o0) AS int) AS x1, cast(greatest(0, y1 + o1) AS int) AS y1,
      cast(least({W}, x2 + o2) AS int) AS x2, cast(least({H}, y2 + o3) AS int) AS y2 FROM jb)"""
