@@ -5,8 +5,9 @@ edit distance of it, in words.  A CGK random walk (each symbol's random bit
 says whether the reader moves on) turns edit distance into Hamming distance;
 bit-sampling keys of several walks collide for near windows with a chosen
 probability; each collision is verified by exact edit distance.  Positions are
-drawn over all ``3 * m`` steps, and walks end after about ``2 * m``: keys that
-lie behind are equal for all windows of a length, so keys hardly filter.
+drawn from the steps that nearly every walk over ``m`` words takes before its
+end, since behind it all windows look alike; an item's key of which all
+positions lie behind its own end is left out.
 
 Two lossless bounds limit the windows that are embedded.  Within ``k`` edits
 an item keeps one of ``k + 1`` equal pieces whole, so a window must hold an
@@ -41,7 +42,7 @@ class Sampler:
     """Walks and sampled positions, drawn from a seed."""
 
     walks: int
-    positions: np.ndarray  # (walks, keys, bits), as shares of the walk's length
+    positions: np.ndarray  # (walks, keys, bits), as shares of the steps inside the text
 
     @staticmethod
     def reaching(recall: float, similarity: float, bits: int, walks: int, seed: int = 7) -> Sampler:
@@ -49,12 +50,17 @@ class Sampler:
         keys = math.ceil(math.log(1 - recall) / math.log(1 - similarity**bits) / walks)
         return Sampler(walks, np.random.default_rng(seed).random((walks, keys, bits)))
 
-    def keys(self, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Keys of padded word rows; ``lens`` are the item lengths that scale the sampled positions."""
+    @staticmethod
+    def inside(m: int) -> int:
+        """Steps that a walk over ``m`` words takes before its end: two a word, less twice their spread."""
+        return max(2, int(2 * m - 2 * math.sqrt(2 * m)))
+
+    def keys(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of word rows of one item length, and whether a key saw any word (not just the end)."""
         n, width = symbols.shape
-        steps = 3 * width
+        steps = self.inside(width)
         padded = np.concatenate([symbols, np.full((n, 1), END)], axis=1)
-        out, rows = [], np.arange(n)
+        out, some, rows = [], [], np.arange(n)
         for walk in range(self.walks):
             at = np.zeros(n, np.int64)
             seen = np.empty((steps, n), np.uint64)
@@ -65,11 +71,18 @@ class Sampler:
                 bit = ((s ^ salt) * _U(0x9FB21C651E98DF25)) >> _U(63)
                 at = np.minimum(at + bit.astype(np.int64), width)
             for k in range(self.positions.shape[1]):
-                key = np.full(n, walk * 1000 + k + 1, np.uint64) + lens.astype(np.uint64) * _U(0x100000)
-                for p in self.positions[walk, k]:
-                    key = mix(key * _U(0x9E3779B97F4A7C15) + seen[(p * 3 * lens).astype(np.int64), rows])
+                key = np.full(n, (walk * 1000 + k + 1) + width * 0x100000, np.uint64)
+                word = np.zeros(n, bool)
+                # positions of a key lie apart, or they would read one word twice
+                apart = steps / (2 * self.positions.shape[2])
+                for b, p in enumerate(self.positions[walk, k]):
+                    first = p * steps if b == 0 else first + apart + p * apart * 2
+                    at_step = seen[int(first) % steps]
+                    key = mix(key * _U(0x9E3779B97F4A7C15) + at_step)
+                    word |= at_step != END
                 out.append(key)
-        return np.stack(out, axis=1)
+                some.append(word)
+        return np.stack(out, axis=1), np.stack(some, axis=1)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
@@ -88,11 +101,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray
 class Items:
     """Benchmark items of one block, with their seeds, pairs and keys."""
 
-    def __init__(self, ids: list[int], texts: list[str], share: float, min_words: int, sampler: Sampler):
+    def __init__(self, ids: list[int | None], texts: list[str], share: float, min_words: int, sampler: Sampler):
         w = Words([t.encode("utf-8", "surrogatepass").translate(PLAIN) for t in texts])
         first = np.cumsum(w.count) - w.count
         keep = np.flatnonzero(w.count >= min_words)
-        self.ids = np.array(ids, np.int64)[keep]
+        self.ids = [ids[i] for i in keep]
         self.words = [w.hash[first[i] : first[i] + w.count[i]] for i in keep]
         self.lens = w.count[keep].astype(np.int64)
         self.edits = (self.lens * share).astype(np.int64)
@@ -113,20 +126,19 @@ class Items:
         for i, x in enumerate(self.words):
             rows[i, : len(x)] = x
         self.rows = rows
-        keys = self.keys(rows, self.lens)
-        flat = keys.ravel()
+        keys, usable = self.keys(rows, self.lens)
+        flat, owner = keys[usable], np.nonzero(usable)[0]
         order = np.argsort(flat, kind="stable")
-        self.key, self.key_item = flat[order], np.repeat(np.arange(len(self.ids)), keys.shape[1])[order]
+        self.key, self.key_item = flat[order], owner[order]
 
-    def keys(self, rows: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Keys of padded rows, each walked at its own length."""
-        out = None
+    def keys(self, rows: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of padded rows, each walked at its own length, and which of them saw a word."""
+        per = self.sampler.walks * self.sampler.positions.shape[1]
+        out, some = np.zeros((len(rows), per), np.uint64), np.zeros((len(rows), per), bool)
         for m in np.unique(lens).tolist():
             of = np.flatnonzero(lens == m)
-            k = self.sampler.keys(rows[of, :m], lens[of])
-            out = np.zeros((len(rows), k.shape[1]), np.uint64) if out is None else out
-            out[of] = k
-        return out
+            out[of], some[of] = self.sampler.keys(rows[of, :m])
+        return out, some
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """``(start word, item length)`` of all windows that pass the two bounds."""
@@ -184,7 +196,7 @@ class Items:
             at = s[:, None] + np.arange(width)
             size = np.minimum(s + k, e) - s
             rows = np.where(np.arange(width) < size[:, None], w.hash[np.minimum(at, len(w.hash) - 1)], END)
-            keys = self.keys(rows, k)
+            keys, _ = self.keys(rows, k)
             lo, hi = np.searchsorted(self.key, keys, side="left"), np.searchsorted(self.key, keys, side="right")
             row, col = np.nonzero(hi > lo)
             n = (hi - lo)[row, col]
@@ -217,7 +229,7 @@ def find_leaks(
     recall: float = 0.999,
     similarity: float = 0.35,
     bits: int = 2,
-    walks: int = 6,
+    walks: int = 12,
     items_per_pass: int = 5000,
 ) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, start, distance, item_words``.
@@ -232,8 +244,9 @@ def find_leaks(
     The benchmark is a query set: ``items_per_pass`` items at a time meet all
     documents, so memory is bounded however many there are.  Items of fewer
     than ``min_item_words`` words match nothing, like null texts.  Repeated
-    rows give repeated results, null ids are kept.  Other columns are ignored.
-    No rows: no rows.
+    rows give repeated results; null ids of documents and items are kept.  Very
+    long texts are searched whole, each as a block of its own.  Other columns
+    are ignored.  No rows: no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -245,7 +258,7 @@ def find_leaks(
     out = None
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()
-        held = Items([r.i if r.i is not None else -1 for r in block], [r.t for r in block], max_edit_share, min_item_words, sampler)
+        held = Items([r.i for r in block], [r.t for r in block], max_edit_share, min_item_words, sampler)
 
         def run(batches: Iterator[pa.RecordBatch], held: Items = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,7 +275,7 @@ def find_leaks(
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column(0).slice(a, b - a).take(pa.array(at)),
-                                pa.array([int(held.ids[i]) for _, i in best], pa.int64()),
+                                pa.array([held.ids[i] for _, i in best], pa.int64()),
                                 pa.array([s for _, s in best.values()], pa.int64()),
                                 pa.array([x for x, _ in best.values()], pa.int32()),
                                 pa.array([int(held.lens[i]) for _, i in best], pa.int32()),
