@@ -39,6 +39,17 @@ def test_quality_rules(spark):
     assert got[None][0].n_words == 20
 
 
+def test_line_limits(spark):
+    """Copies are documents of their own, and the limit of a large host is the absolute one."""
+    page = "a line of the page\n" + " ".join(f"own{k}" for k in range(12))
+    own = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(1000)]  # digits are all alike in lines
+    rows = [(i, page, "h", None) for i in range(15)] + [(100 + i, " ".join(f"{x}{chr(97 + k)}" for k in range(12)), "h", None) for i, x in enumerate(own)]
+    for limit, hot in ((10, True), (1000, False)):
+        got = {r.doc_id: r for r in quality_rules.apply_rules(docs(spark, rows), max_docs=limit).collect()}
+        assert all((got[i].removed_lines, got[i].removed_words, got[i].kept) == ((2, 17, False) if hot else (0, 0, True)) for i in range(15))
+        assert all(got[100 + i].kept and got[100 + i].removed_lines == 0 for i in range(1000))
+
+
 def naive_rules(text):
     words = (text or "").split()
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -191,6 +202,48 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def edited(rng, words, k, vocab):
+    words = list(words)
+    for _ in range(k):
+        p, kind, new = rng.randrange(len(words)), rng.randrange(3), rng.choice(vocab)
+        if kind == 0:
+            words[p] = new
+        elif kind == 1:
+            words.insert(p, new)
+        elif len(words) > 1:
+            words.pop(p)
+    return words
+
+
+@pytest.mark.parametrize("m", [8, 10, 15, 20, 38, 59])
+def test_keys_decide(m):
+    """Keys find windows at the 20 % limit, and unrelated windows of frequent words seldom share one."""
+    rng = random.Random(m)
+    vocab = [int(x) for x in np.random.default_rng(m).integers(1, 2**62, 5000)]
+    weights = [1 / (k + 2.7) for k in range(5000)]  # the most frequent word is every twentieth
+    sampler = decontaminate.Sampler.reaching(0.999, 0.35, 2, 12)
+
+    def rows(texts):
+        return np.array([(t + [int(decontaminate.END)] * m)[:m] for t in texts], np.uint64)
+
+    items = [rng.choices(vocab, weights, k=m) for _ in range(400)]
+    near = [edited(rng, t, int(m * 0.2), vocab) for t in items]
+    keys, usable = sampler.keys(rows(items))
+    assert usable.mean() > 0.9
+    shared = ((keys == sampler.keys(rows(near))[0]) & usable).any(axis=1)
+    apart = ((keys == np.roll(keys, 1, axis=0)) & usable).any(axis=1)
+    assert shared.mean() >= 0.95 and apart.mean() < 0.05
+    # a text of the end alone has no key
+    assert not sampler.keys(rows([[]]))[1].any()
+
+
+def test_null_item(spark):
+    item = " ".join(f"w{k}" for k in range(12))
+    bench = spark.createDataFrame([(None, item), (-1, "other " * 3 + item[::-1])], "item_id bigint, text string")
+    got = decontaminate.find_leaks(docs(spark, [(1, "so " + item, "s", None), (2, "x " * 2_000_000 + item, "s", None)]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, None), (2, None)]
+
+
 def test_warc(spark):
     big, small = "<p>" + "x" * 120 + "é", "tiny"
     rows = [(4, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (7, "u", small), (1, "u", small), (3, "u", None), (5, "u", ""), (None, "u", big), (2, "again", big), (8, "u", "other" * 40)]

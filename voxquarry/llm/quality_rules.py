@@ -84,20 +84,20 @@ def line_words(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """``(host, line)`` in more than ``min_docs`` texts and ``max_share`` of all texts of the host.
+def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
+    """``(host, line)`` in more than ``min_docs`` documents of the host, and in more than ``max_docs`` or a share ``max_share`` of all.
 
-    Exact copies of a text count once: copying a page does not make its lines a
-    template.  The first aggregate spreads a hot line over its texts, the
-    second is pre-aggregated per task.
+    The smaller of the last two decides, so the limit doesn't grow with a
+    large host.  The first aggregate spreads a hot line over its documents,
+    the second is pre-aggregated per task.
     """
-    seen = lines.groupBy("host", "line", "body").agg(F.lit(1).alias("one"))
+    seen = lines.groupBy("host", "line", "doc_id", "body").agg(F.lit(1).alias("one"))
     per_line = seen.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = lines.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
+    hosts = lines.groupBy("host", "doc_id", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
     hosts = hosts.withColumnRenamed("host", "host_")
     return (
         per_line.join(hosts, F.col("host").eqNullSafe(F.col("host_")))
-        .where(F.col("docs") > F.col("total") * max_share)
+        .where(F.col("docs") > F.least(F.col("total") * max_share, F.lit(float(max_docs))))
         .select("host", "line")
     )
 
@@ -112,33 +112,35 @@ def apply_rules(
     max_repeat_percent: int = 20,
     min_docs: int = 10,
     max_share: float = 0.02,
+    max_docs: int = 1000,
     min_left: float = 0.5,
 ) -> DataFrame:
     """Counts and verdict per row of ``docs``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, removed_words, kept``.  A row is kept unless a
+    n_repeat_words, base_failed, removed_lines, removed_words, kept``.  A row is kept unless a
     base rule fails or lines above the limits hold more than ``1 - min_left``
     of its words.
 
     Null or blank text: all counts 0, ``base_failed``.  Null host: a host of
     its own.  Null or repeated ids: every row gets its own result; rows that
-    repeat id, host and text agree.  Other columns are ignored.  No rows: no rows.
+    repeat id, host and text are one document and agree.  Very long texts are
+    taken whole.  Other columns are ignored.  No rows: no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
     )
     counts = base_counts(rows, "text").withColumn("body", F.xxhash64("text")).drop("text")
     lines = line_words(rows, "text")
-    hot = frequent_lines(lines, min_docs, max_share).select(
+    hot = frequent_lines(lines, min_docs, max_share, max_docs).select(
         F.col("host").alias("hot_host"), F.col("line").alias("hot_line"), F.lit(True).alias("hot")
     )
     removed = (
         lines.join(hot, (F.col("line") == F.col("hot_line")) & F.col("host").eqNullSafe(F.col("hot_host")))
         .groupBy("doc_id", "host", "body")
-        .agg(F.sum("words").alias("removed"))
+        .agg(F.sum("words").alias("removed"), F.count("*").alias("hot_lines"))
         .select(
-            F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("body").alias("r_body"), "removed"
+            F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("body").alias("r_body"), "removed", "hot_lines"
         )
     )
     # rows repeated whole add their lines once each, so divide by how often the row stands
@@ -151,7 +153,9 @@ def apply_rules(
         & F.col("r_host").eqNullSafe(F.col("t_host"))
         & (F.col("r_body") == F.col("t_body")),
         "left",
-    ).select("r_id", "r_host", "r_body", (F.col("removed") / F.coalesce("count", F.lit(1))).cast("bigint").alias("removed"))
+    ).select(
+        "r_id", "r_host", "r_body", *[(F.col(c) / F.coalesce("count", F.lit(1))).cast("bigint").alias(c) for c in ("removed", "hot_lines")]
+    )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     gone = F.coalesce("removed", F.lit(0).cast("bigint"))
     return counts.join(
@@ -163,6 +167,7 @@ def apply_rules(
     ).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
+        F.coalesce("hot_lines", F.lit(0).cast("bigint")).alias("removed_lines"),
         gone.alias("removed_words"),
         (~failed & (gone <= F.col("n_words") * (1 - min_left))).alias("kept"),
     )

@@ -47,18 +47,18 @@ lines AS (SELECT doc_id, source, text, line,
       '[ \t\n\x0B\f\r]+', ' ', 'g'), '[0-9]', '0', 'g') AS norm FROM raw),
 solid AS (SELECT * FROM lines WHERE norm <> ''),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY doc_id),
-freq AS (SELECT source, norm, count(DISTINCT text) AS docs FROM solid GROUP BY source, norm),
-host AS (SELECT source, count(DISTINCT text) AS total FROM solid GROUP BY source),
+freq AS (SELECT source, norm, count(DISTINCT doc_id) AS docs FROM solid GROUP BY source, norm),
+host AS (SELECT source, count(DISTINCT doc_id) AS total FROM solid GROUP BY source),
 hot AS (SELECT freq.source, norm FROM freq JOIN host ON freq.source IS NOT DISTINCT FROM host.source
-  WHERE docs > 10 AND docs > total * CAST(0.02 AS DOUBLE)),
-gone AS (SELECT doc_id, CAST(sum(len(string_split(s.norm, ' '))) AS BIGINT) AS removed
+  WHERE docs > 10 AND docs > least(total * CAST(0.02 AS DOUBLE), 1000)),
+gone AS (SELECT doc_id, CAST(sum(len(string_split(s.norm, ' '))) AS BIGINT) AS removed, count(*) AS n_hot
   FROM solid s JOIN hot h ON s.norm = h.norm AND s.source IS NOT DISTINCT FROM h.source GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words, coalesce(n_hot, 0) AS removed_lines
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_lines, removed_words,
   NOT base_failed AND removed_words <= n_words * CAST(0.5 AS DOUBLE) AS kept FROM judged
 """
 
