@@ -110,3 +110,17 @@ def test_perfect_hash():
         seeds = token_files.build_hash(keys)
         slots = token_files.find_slots(seeds, len(keys), keys)
         assert sorted(slots.tolist()) == list(range(len(keys)))
+
+
+def test_cache_rolls_over(lib):
+    """Generations of a few bytes give the same ids as an endless cache."""
+    with bpe.codec(PATH) as c:
+        c.limit = 5
+        rng = random.Random(3)
+        words = ["the", "été", "日本", "don't", "x" * 300, "a!b"]
+        for _ in range(40):
+            some = rng.choices(words, k=3)
+            cache = c.remember(set(some), lambda ids, offsets: [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])])
+            assert [cache[w] for w in some] == [lib.encode(w, add_special_tokens=False).ids for w in some]
+            assert len(c.cache) <= 3 + len(c.old)
+    assert not c.__dict__  # nothing is held after the block

@@ -113,11 +113,14 @@ class Codec:
         """
         lens = np.array([len(p) for p, _ in pieces], np.int64)
         buf = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
+        return self.merge_bytes(buf, lens, np.array([f for _, f in pieces], bool))
+
+    def merge_bytes(self, buf: np.ndarray, lens: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for byte strings back to back."""
         sym = self.byte[buf]
         ends = np.cumsum(lens) - 1
-        final = np.array([f for _, f in pieces], bool)
         sym[ends[final]] = self.last[buf[ends[final]]]
-        owner = np.repeat(np.arange(len(pieces)), lens)
+        owner = np.repeat(np.arange(len(lens)), lens)
         rank = np.full(len(sym), NONE, np.int64)
         inner = np.flatnonzero(owner[:-1] == owner[1:])
         rank[inner] = self.ranked(sym[inner], sym[inner + 1])
@@ -148,7 +151,7 @@ class Codec:
                 ok = (owner[i] == owner[has]) & (has > i)
                 rank[i] = np.where(ok, self.ranked(sym[i], sym[has]), NONE)
         sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
-        return np.bincount(owner, minlength=len(pieces)), sym[np.argsort(owner, kind="stable")]
+        return np.bincount(owner, minlength=len(lens)), sym[np.argsort(owner, kind="stable")]
 
     def merge(self, pieces: list[tuple[bytes, bool]]) -> list[np.ndarray]:
         count, flat = self.merge_flat(pieces)
@@ -241,8 +244,7 @@ class Codec:
         words = self.words.findall(joined.lower())
         known: dict[str, int] = {"\n": 0}
         at = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-        listed = [w.encode() for w in known]
-        lens, flat = self.merged(listed)
+        lens, flat = self.merged("\n".join(known).encode())
         # each word's ids in order of the chunks; a line end adds none
         first = np.cumsum(lens) - lens
         take = lens[at]
@@ -259,19 +261,26 @@ class Codec:
             out = np.concatenate(parts)
         return out, offsets
 
-    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids and all ids of distinct words; the first is the line end and has none."""
+    def merged(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of the words between line ends; the first of them is a line end and has none."""
+        data = np.frombuffer(words + b"\n", np.uint8)
+        ends = np.flatnonzero(data == 10)[2:]  # those of the words after the first
+        starts = np.r_[2, ends[:-1] + 1][: len(ends)]
+        size = ends - starts
+        letters, at = data[data != 10], np.cumsum(size) - size
         lens, flats = [np.zeros(1, np.int64)], []
-        for at in range(1, len(words), 8192):
-            some = words[at : at + 8192]
-            long = [i for i, w in enumerate(some) if len(w) > LEAF]
-            own = {i: self.tree(some[i]) for i in long}
-            count, flat = self.merge_flat([(b"a" if i in own else w, True) for i, w in enumerate(some)])
-            if own:
-                parts = np.split(flat, np.cumsum(count)[:-1])
+        for k in range(0, len(size), 8192):
+            some = size[k : k + 8192]
+            long = np.flatnonzero(some > LEAF)
+            if len(long):
+                texts = [words[a : a + n] for a, n in zip(starts[k : k + 8192].tolist(), some.tolist())]
+                own = {i: self.tree(texts[i]) for i in long.tolist()}
+                parts = self.merge([(b"a" if i in own else w, True) for i, w in enumerate(texts)])
                 for i, x in own.items():
                     parts[i] = x
                 count, flat = np.array([*map(len, parts)], np.int64), np.concatenate(parts)
+            else:
+                count, flat = self.merge_bytes(letters[at[k] : at[k] + some.sum()], some, np.ones(len(some), bool))
             lens.append(count)
             flats.append(flat)
         return np.concatenate(lens), np.concatenate(flats) if flats else np.zeros(0, np.int64)
