@@ -12,6 +12,7 @@ from ..operators import quality as ql
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import thresholds as th
+from ..operators import tiles as tl
 from ..operators import tricks as tr
 from ..operators import voxels as vx
 from ..session import cut_lineage
@@ -97,6 +98,12 @@ def _(d):
     return cc.components(d.dense, block=4)
 
 
+# Tiles along all axes: faces in z, y and x are contracted.
+@query("components_in_tiles", f"WITH {comp_sql('dense')} SELECT case_id, mask_id, z, y, x, label FROM comp")
+def _(d):
+    return tl.tiled_components(d.dense, tile=(4, 5, 6))
+
+
 @query("components_2d", f"WITH {comp_sql('dense', _FACE2)} SELECT case_id, mask_id, z, y, x, label FROM comp")
 def _(d):
     return cc.components(d.dense, dim=2)
