@@ -214,7 +214,37 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=moved)
 
 
-@query("op13_spelling_variants")
+# The database compares bytes, so each letter beyond ASCII becomes a character of one byte; it has no crc32 either.
+BEYOND = "".join(chr(c) for c in range(0xC0, 0x100))
+ONE_BYTE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 !#$%&()*+,-./:;<=>?@[]^_{|}"[:64]
+OP13_SQL = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+bytes AS (SELECT run, times, flatten(list_transform(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: unicode(x)),
+    lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END)) AS b FROM own),
+crc AS (SELECT run, times, xor(list_reduce([4294967295] || list_transform(b, lambda x: CAST(x AS BIGINT)),
+    lambda c, x: xor(c // 256, t.t[xor(c, x) % 256 + 1])), 4294967295) AS h FROM bytes, t),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, times FROM crc),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n, translate(word, '{BEYOND}', '{ONE_BYTE}') AS w FROM made
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+keyed AS (SELECT word, n, w, m, k, CASE WHEN k THEN substr(w, 1, m // 2) ELSE right(w, m // 2) END AS part FROM words,
+    LATERAL (SELECT unnest([length(w), length(w) - 1]) AS m), LATERAL (SELECT unnest([true, false]) AS k)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM keyed a JOIN keyed b USING (m, k, part)
+  WHERE a.w <> b.w AND levenshtein(a.w, b.w) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, (other_n, -pos)) AS form, max(other_n) AS form_n
+  FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY encode(other)) AS pos FROM near) GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root, form AS onward FROM forms UNION ALL
+  SELECT p.word, f.word, f.form FROM path p JOIN forms f ON f.word = p.onward)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM forms f JOIN path p ON p.word = f.word AND p.onward IS NULL
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)
 
