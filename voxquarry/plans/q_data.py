@@ -12,6 +12,7 @@ from ..operators import learning as ml
 from ..operators import sampling as sp
 from ..operators import shuffle as sh
 from ..operators import slices as sl
+from ..operators import store as st
 from ..operators import voxels as vx
 from ..session import cut_lineage, scratch_path, ship_package
 from ..sources import documents as dc
@@ -259,21 +260,24 @@ def _(d):
     return lb.case_index(d.descr, train_cases(d))
 
 
-@query(
-    "training_rows",
-    f"""WITH {AUX_FLAGS}, s AS (SELECT case_id, z, list_sum(px) AS s FROM ({DUCK_PICTURE})), tri AS (SELECT case_id, z, coalesce(lag(s) OVER w, s) AS p, s AS c, coalesce(lead(s) OVER w, s) AS n FROM s WINDOW w AS (PARTITION BY case_id ORDER BY z)),
+TRAINING_SQL = f"""WITH RECURSIVE {AUX_FLAGS}, s AS (SELECT case_id, z, list_sum(px) AS s FROM ({DUCK_PICTURE})), tri AS (SELECT case_id, z, coalesce(lag(s) OVER w, s) AS p, s AS c, coalesce(lead(s) OVER w, s) AS n FROM s WINDOW w AS (PARTITION BY case_id ORDER BY z)),
         m AS (SELECT case_id, mask_id, z, count(*) AS n FROM gt GROUP BY case_id, mask_id, z), b AS (SELECT case_id, mask_id, min(z) / {float(D)}::double AS z1 FROM gt GROUP BY case_id, mask_id)
         SELECT fl.case_id, fl.mask_id, fl.z, is_positive, t.text, coalesce(m.n, 0) AS gt_pixels, round(tri.p, 6) AS prev, round(tri.c, 6) AS curr, round(tri.n, 6) AS next, round(coalesce(z1, 0), 6) AS z1
         FROM fl JOIN descr t ON t.case_id = fl.case_id AND t.mask_id = fl.mask_id LEFT JOIN tri ON tri.case_id = fl.case_id AND tri.z = fl.z
-        LEFT JOIN m ON m.case_id = fl.case_id AND m.mask_id = fl.mask_id AND m.z = fl.z LEFT JOIN b ON b.case_id = fl.case_id AND b.mask_id = fl.mask_id""",
-)
+        LEFT JOIN m ON m.case_id = fl.case_id AND m.mask_id = fl.mask_id AND m.z = fl.z LEFT JOIN b ON b.case_id = fl.case_id AND b.mask_id = fl.mask_id"""
+
+
+@query("training_rows", TRAINING_SQL.replace("WITH RECURSIVE", "WITH", 1))
 def _(d):
     aux = lb.aux_labels(d.gt, d.descr.select(*T, "text"), D, H, W)
     index = lb.slice_index(aux, train_cases(d))
-    rows = sl.training_rows(index, sl.slice_triplet(pictures(d)), aux, d.descr, d.gt)
+    return sample_sums(sl.training_rows(index, sl.slice_triplet(pictures(d)), aux, d.descr, d.gt))
+
+
+def sample_sums(rows, *more):
     total = lambda c: F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, v: a + v).alias(c)
     n = F.greatest(F.coalesce(F.size("gt_pixels"), F.lit(0)), F.lit(0)).cast("bigint").alias("gt_pixels")
-    return rounded(rows.select(*T, "z", "is_positive", "text", n, total("prev"), total("curr"), total("next"), "z1"))
+    return rounded(rows.select(*T, "z", "is_positive", "text", n, total("prev"), total("curr"), total("next"), "z1", *more))
 
 
 def _names(d):
@@ -356,6 +360,19 @@ def _(d):
     return sh.epoch_order(rows, n, *EPOCH).select(*T, "z", "is_positive", "number", "place")
 
 
+@query(
+    "training_epoch",
+    f"""WITH RECURSIVE {AUX_FLAGS}, {feistel_sql('SELECT * FROM fl', *EPOCH)}, made AS ({TRAINING_SQL.replace('WITH RECURSIVE', 'WITH', 1)})
+        SELECT made.*, x AS place FROM made JOIN nm USING (case_id, mask_id, z) JOIN walk USING (number) WHERE NOT outside""",
+)
+def _(d):
+    """An epoch of all training rows from two stores in the same buckets."""
+    aux = lb.aux_labels(d.gt, d.descr.select(*T, "text"), D, H, W)
+    samples = st.sample_store(lb.slice_index(aux, train_cases(d)), aux, d.descr, d.gt, 8)
+    store = st.picture_store(sl.slice_triplet(pictures(d)), 8)
+    return sample_sums(st.epoch_rows(samples, store, samples.count(), *EPOCH), "place")
+
+
 @query(
     "posneg_sample_counts",
     f"WITH {AUX_FLAGS}, n AS (SELECT count(*) AS n, cast(round_even(count(*) * 0.7, 0) AS bigint) AS p FROM fl) SELECT 1 AS is_positive, p AS draws FROM n UNION ALL SELECT 0, n - p FROM n",
