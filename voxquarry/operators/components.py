@@ -280,10 +280,10 @@ def postprocess_route(
 ) -> DataFrame:
     """Clean every target by its rule: nearest component, or drop tiny ones.
 
-    ``rules`` is (case_id, mask_id, post_rule).  Components are labelled once
-    for both branches.
+    ``rules`` is (case_id, mask_id, post_rule).  Labelled runs are stored once
+    and read by every branch.
     """
-    runs = component_runs(voxels).join(rules.select(*TARGET, "post_rule"), TARGET)
+    runs = cut_lineage(component_runs(voxels).join(rules.select(*TARGET, "post_rule"), TARGET))
     near = runs.where(F.col("post_rule") == "keep_nearest")
     many = runs.where(F.col("post_rule").isin("keep_multi", "organ_roi"))
     rest = runs.where(~F.col("post_rule").isin("keep_nearest", "keep_multi", "organ_roi"))

@@ -28,17 +28,20 @@ def text_key(text: Column) -> Column:
 def terms_of(text: Column, stop_words: list[str]) -> Column:
     """Lower-case words of two or more characters without stop words, then their bigrams."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*[F.lit(s) for s in stop_words]) if stop_words else F.array().cast("array<string>")
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
-    pairs = F.when(
-        F.size(kept) > 1,
-        F.zip_with(
-            F.slice(kept, 1, F.size(kept) - 1),
-            F.slice(kept, 2, F.size(kept) - 1),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, pairs)
+    kept = F.filter(words, lambda w: ~w.isin(stop_words)) if stop_words else words  # long lists become a hash set
+
+    def with_pairs(kept: Column) -> Column:
+        pairs = F.when(
+            F.size(kept) > 1,
+            F.zip_with(
+                F.slice(kept, 1, F.size(kept) - 1),
+                F.slice(kept, 2, F.size(kept) - 1),
+                lambda a, b: F.concat_ws(" ", a, b),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+        return F.concat(kept, pairs)
+
+    return F.get(F.transform(F.array(kept), with_pairs), F.lit(0))  # the words are cut once a row
 
 
 def tfidf_postings(texts: DataFrame, stop_words: list[str], max_features: int = 5000) -> DataFrame:
