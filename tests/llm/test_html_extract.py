@@ -34,6 +34,11 @@ LAYOUTS = {
     "<section id=comments><h2>Comments</h2><article class=comment><p>I do not agree at all with what is written above, not at all.</p></article></section></main>",
     "form": "<form id=aspnetForm><div class=mainMenu><ul><li>One<li>Two</ul></div><div class=story><h1>Head</h1>%s</div><input value=x></form>",
     "table": "<table><tr><td class=leftnav>One<td class=text><h1>Head</h1>%s<tr><td colspan=2 class=copyright>2020</table>",
+    "site": "<body class='single has-sidebar'><div id=page><header id=masthead><h1>The site</h1><nav>x</nav></header><div id=content>"
+    "<div class=breadcrumb>Home &gt; News</div><article class='post type-post'><header class=entry-header><h1>Head</h1></header>"
+    "<div class=entry-content>%s</div><footer>tags</footer></article><div id=comments class=comments-area><ol class=commentlist>"
+    "<li><p>I do not agree at all with what is written above, not at all.</p></li></ol></div></div><aside id=secondary>More</aside></div>",
+    "numbers": "<div class=c1><a href=1>Home</a><a href=2>News</a></div><div class=c2><h1>Head</h1>%s</div><div class=c3><p>Imprint.</p></div>",
     "ad": "<article><h1>Head</h1><div class=ad>Buy <b>this</b></div>%s<aside>More</aside><script>var a='</p>';</script><style>p{}</style>"
     "<form><label>Your mail</label><input></form></article>",
 }

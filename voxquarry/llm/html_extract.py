@@ -267,9 +267,11 @@ class Page:
         return 0
 
     def heading_outside(self, i: int, child: int) -> bool:
-        """Whether the element has a main heading outside the child; in the body only the one of the page's title counts."""
+        """Whether the element has a main heading that the child lacks; in the body only the one of the page's title counts."""
+        if any(self.first[child] <= self.first[h] < self.last[child] for h in self.headings):
+            return False
         for h in self.headings:
-            if self.first[i] <= self.first[h] < self.last[i] and not (self.first[child] <= self.first[h] < self.last[child]):
+            if self.first[i] <= self.first[h] < self.last[i]:
                 text = self.text_of(h)
                 if text and (self.tag[i] != "body" or self.title.startswith(text[:40])):
                     return True
@@ -295,7 +297,8 @@ class Page:
         """Outermost elements on a path; of several without a name only the one with most text."""
         leaf = path.rpartition(">")[2]
         found = [i for i, x in enumerate(self.label) if x == leaf and self.path(i) == path] if leaf else []
-        if len(found) > 1 and "." not in leaf and leaf not in ("article", "main"):
+        named = leaf in ("article", "main") or any(n.strip("#-_") for n in leaf.split(".")[1:])
+        if len(found) > 1 and not named:
             found = [max(found, key=lambda i: (self.plain[i], -i))]
         return [i for i in found if self.gate[i] < 0 or self.gate[i] == i]
 
