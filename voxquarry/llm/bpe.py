@@ -323,10 +323,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def in_task(path: str, work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work(codec, batches)`` as a function of the batches alone, with a codec of its own."""
+_HELD: dict[str, Codec] = {}
+
+
+def in_task(path: str, work, hold: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(codec, batches)`` as a function of the batches alone, with a codec of its own.
+
+    With ``hold`` the worker keeps codec and cache for the next such task,
+    which saves encoding recurring words again; any other task frees them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if hold:
+            if path not in _HELD:
+                _HELD[path] = codec(path)
+            yield from work(_HELD[path], batches)
+            return
+        _HELD.clear()
         with codec(path) as c:
             yield from work(c, batches)
 

@@ -208,7 +208,7 @@ def write_ids(
         if held:
             yield flush()
 
-    ids = rows.mapInArrow(in_task(path, to_ids), "part int, key bigint, ids binary, width int")
+    ids = rows.mapInArrow(in_task(path, to_ids, hold=True), "part int, key bigint, ids binary, width int")
     ids = ids.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "ids")
     ids.mapInArrow(pack, SHARD_DDL).write.option("compression", "zstd").parquet(out)
     return out
