@@ -337,6 +337,7 @@ def in_task(path: str, work, hold: bool = False) -> Callable[[Iterator[pa.Record
         if hold:
             if path not in _HELD:
                 _HELD[path] = codec(path)
+                _HELD[path].limit = 2 * CACHE
             yield from work(_HELD[path], batches)
             return
         _HELD.clear()
