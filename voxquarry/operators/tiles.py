@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
-from .components import _RUN_ARRAY, _labeller, _star_roots, explode_runs
+from ..session import cut_lineage
+from .components import _star_roots, explode_runs, label_parts
 from .voxels import SLICE, TARGET, VOXEL
 
 TILE = (16, 256, 256)
@@ -30,11 +30,14 @@ def tile_runs(voxels: DataFrame, tx: int) -> DataFrame:
     return marked.groupBy(*SLICE, "y", "_tx", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
 
 
+def _placed(runs: DataFrame, tile: tuple[int, int, int]) -> DataFrame:
+    return runs.withColumns({"_tz": _number("z", tile[0]), "_ty": _number("y", tile[1])})
+
+
 def gathered(runs: DataFrame, tile: tuple[int, int, int]) -> DataFrame:
-    """One row a tile with its runs in an array."""
+    """One row a tile with its runs in an array; for tests."""
     entry = F.struct(*[F.col(c).cast("bigint").alias(n) for c, n in (("z", "z"), ("y", "y"), ("x0", "a"), ("x1", "b"))])
-    placed = runs.withColumns({"_tz": _number("z", tile[0]), "_ty": _number("y", tile[1])})
-    return placed.groupBy(*TARGET, "_tz", "_ty", "_tx").agg(F.collect_list(entry).cast(_RUN_ARRAY).alias("runs"))
+    return _placed(runs, tile).groupBy(*TARGET, "_tz", "_ty", "_tx").agg(F.collect_list(entry).alias("runs"))
 
 
 def _faces(local: DataFrame, tile: tuple[int, int, int], dim: int, diagonal: bool) -> DataFrame:
@@ -75,15 +78,10 @@ def tiled_component_runs(voxels: DataFrame, dim: int = 3, diagonal: bool = False
     """
     if dim == 3 and diagonal:
         raise ValueError("diagonal neighbours are for slices")
-    ship_package(voxels.sparkSession)
     tile = (1, *tile[1:]) if dim == 2 else tile
-    tiles = gathered(tile_runs(voxels, tile[2]), tile)
-    labelled = tiles.withColumn("labels", _labeller(1 if diagonal else 0)("runs"))
-    each = labelled.select(*TARGET, "_tx", F.explode(F.arrays_zip("runs", "labels")).alias("r"))
-    local = cut_lineage(each.select(
-        *TARGET, F.col("r.runs.z").alias("z"), F.col("r.runs.y").alias("y"), "_tx",
-        F.col("r.runs.a").alias("x0"), F.col("r.runs.b").alias("x1"), F.col("r.labels").alias("label"),
-    ))
+    placed = _placed(tile_runs(voxels, tile[2]), tile)
+    labelled = label_parts(placed, [*TARGET, "_tz", "_ty", "_tx"], diagonal)
+    local = cut_lineage(labelled.select(*SLICE, "y", "_tx", "x0", "x1", "label"))
     roots = _star_roots(_faces(local, tile, dim, diagonal))
     return (
         local.join(roots.withColumnRenamed("hi", "label"), [*TARGET, "label"], "left")
