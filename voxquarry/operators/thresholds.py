@@ -33,15 +33,14 @@ def otsu_threshold(
         span = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
         return F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / span * bins)).cast("bigint")
 
-    stored = prob.join(stats, SLICE).groupBy(*SLICE, bin_of(F.col("prob")).alias("bin")).agg(
+    stored = prob.join(stats, SLICE).groupBy(*SLICE, "n", "lo", "hi", bin_of(F.col("prob")).alias("bin")).agg(
         F.count(F.lit(1)).alias("c")
     )
-    implicit = stats.where(F.col("n") < pixels).select(
-        *SLICE, bin_of(F.lit(0.0)).alias("bin"), (F.lit(pixels) - F.col("n")).alias("c")
-    )
-    hist = stored.unionByName(implicit).where(F.col("bin").isNotNull()).groupBy(*SLICE, "bin").agg(
-        F.sum("c").alias("c")
-    )
+    # Pixels that are not stored join the list of a slice's bins: a union here may be planned with partitions that don't match.
+    implicit = F.when(F.col("n") < pixels, F.array(F.struct(bin_of(F.lit(0.0)).alias("bin"), (F.lit(pixels) - F.col("n")).alias("c"))))
+    bins_of = stored.groupBy(*SLICE, "n", "lo", "hi").agg(F.collect_list(F.struct("bin", "c")).alias("bins"))
+    every = bins_of.select(*SLICE, F.explode(F.concat("bins", F.coalesce(implicit, F.array()))).alias("b")).select(*SLICE, "b.*")
+    hist = every.where(F.col("bin").isNotNull()).groupBy(*SLICE, "bin").agg(F.sum("c").alias("c"))
     whole = Window.partitionBy(*SLICE)
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.select(
