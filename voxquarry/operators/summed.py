@@ -2,7 +2,7 @@
 
 A mask is cut into cubes.  Three passes, one along each axis, turn counts into
 prefix sums: within a line of cubes the last face of each is carried into the
-next, so a task holds one line.  Cubes that come before every voxel in some
+next; lines stream through a task, many summed at once.  Cubes that come before every voxel in some
 axis are absent and stand for zero.
 """
 
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
+from .components import _begins, whole_parts
 from .voxels import TARGET, VOXEL
 
 SIDE = 8  # voxels along an edge of a cube
 CUBE = ["bz", "by", "bx"]
-_DDL = "bz int, by int, bx int, sums array<bigint>"
+AT_ONCE = 2048  # cubes summed together in a worker
 
 
 def _local(voxels: DataFrame, side: int, weight: str | None) -> DataFrame:
@@ -37,33 +38,60 @@ def _local(voxels: DataFrame, side: int, weight: str | None) -> DataFrame:
     return placed.groupBy(*TARGET, *CUBE).agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))
 
 
-def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
-    for value in column:
-        yield value.values.to_numpy(zero_copy_only=False)
-
-
 def _along(axis: int, side: int, cubes: int):
-    """Prefix sums along a line of cubes, each taking over the last face of the one before."""
-    name = CUBE[axis]
-
-    def run(line: pa.Table) -> pa.Table:
-        line = line.sort_by(name)
-        at = line.column(name).to_pylist()
-        held = dict(zip(at, _lists(line.column("sums"))))
-        shape = [side, side, side]
-        shape[axis] = 1
-        face, out = np.zeros(shape, np.int64), []
-        for k in range(at[0], cubes):
-            own = held[k].reshape(side, side, side) if k in held else np.zeros((1, 1, 1), np.int64)
-            sums = np.broadcast_to(own.cumsum(axis=axis) + face, (side, side, side))
-            face = sums.take([-1], axis=axis)
-            out.append(sums.ravel())
-        flat = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * side**3, pa.array(np.concatenate(out)))
-        cols = {c: pa.array([line.column(c)[0].as_py()] * len(out), line.schema.field(c).type) for c in [*TARGET, *CUBE]}
-        cols[name] = pa.array(np.arange(at[0], cubes, dtype=np.int32))
-        return pa.table({**cols, "sums": flat})
-
-    return run
+    """Arrow function: prefix sums along lines of cubes, each cube taking over the last face of the one before.
+
+    Cubes come sorted by line and place.  Many lines are summed at once; a worker
+    holds an Arrow batch, one line that goes on in the next and ``AT_ONCE`` cubes.
+    """
+    name, size = CUBE[axis], side**3
+    line = [*TARGET, *[c for c in CUBE if c != name]]
+
+    def dense(lines: pa.RecordBatch, kind: type) -> np.ndarray:
+        if "sums" in lines.schema.names:
+            return lines.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side, side)
+        at, v = lines.column("at"), lines.column("v")
+        out = np.zeros((len(lines), size), kind)
+        row = np.repeat(np.arange(len(lines)), at.value_lengths().to_numpy(zero_copy_only=False))
+        out[row, at.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
+        return out.reshape(-1, side, side, side)
+
+    def summed(lines: pa.RecordBatch, kind: type) -> Iterator[pa.RecordBatch]:
+        place = lines.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.flatnonzero(_begins(lines, line))
+        ends = np.append(starts[1:], len(lines))
+        count = cubes - place[starts]  # from a line's first cube to the end of the frame
+        group = (np.cumsum(count) - count) // AT_ONCE
+        for g in np.unique(group):
+            chosen = np.flatnonzero(group == g)
+            begin, end, n = starts[chosen], ends[chosen], count[chosen]
+            rows = slice(begin[0], end[-1])
+            base = np.cumsum(n) - n
+            at = np.repeat(base - place[begin], end - begin) + place[rows]
+            sums = np.zeros((n.sum(), side, side, side), kind)
+            sums[at] = dense(lines.slice(rows.start, rows.stop - rows.start), kind)
+            np.cumsum(sums, axis=axis + 1, out=sums)
+            last = sums.take([-1], axis=axis + 1)
+            before = last.cumsum(axis=0, dtype=np.int64) - last
+            before -= np.repeat(before[base], n, axis=0)
+            sums += before.astype(kind)
+            cols = {c: lines.column(c).take(pa.array(np.repeat(begin, n))) for c in line}
+            cols[name] = pa.array((np.arange(len(sums)) - np.repeat(base - place[begin], n)).astype(np.int32))
+            cols["sums"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), pa.array(sums.ravel()))
+            names = [*TARGET, *CUBE, "sums"]
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+
+    return line, summed
+
+
+def _pass(cubes: DataFrame, axis: int, side: int, n: int, ddl: str, kind: type) -> DataFrame:
+    line, summed = _along(axis, side, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in whole_parts(batches, line):
+            yield from summed(lines, kind)
+
+    return cubes.repartition(*line).sortWithinPartitions(*line, CUBE[axis]).mapInArrow(run, ddl)
 
 
 def summed_volume(voxels: DataFrame, d: int, h: int, w: int, side: int = SIDE, weight: str | None = None) -> DataFrame:
@@ -75,20 +103,12 @@ def summed_volume(voxels: DataFrame, d: int, h: int, w: int, side: int = SIDE, w
     ship_package(voxels.sparkSession)
     inside = F.col("z").between(0, d - 1) & F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)
     cubes = _local(voxels.where(inside), side, weight)
+    small = weight is None and d * h * w < 2**31  # counts fit four bytes
     kinds = dict(cubes.dtypes)
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in TARGET) + ", " + _DDL
-
-    @F.arrow_udf("array<bigint>")
-    def unfold(at: pa.Array, v: pa.Array) -> pa.Array:
-        out = np.zeros((len(at), side**3), np.int64)
-        row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
-        out[row, at.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * side**3, pa.array(out.ravel()))
-
-    now = cubes.select(*TARGET, *CUBE, unfold("at", "v").alias("sums"))
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in TARGET) + f", bz int, by int, bx int, sums array<{'int' if small else 'bigint'}>"
+    now = cubes
     for axis, size in ((2, w), (1, h), (0, d)):
-        line = [*TARGET, *[c for k, c in enumerate(CUBE) if k != axis]]
-        now = now.groupBy(*line).applyInArrow(_along(axis, side, -(-size // side)), ddl)
+        now = _pass(now, axis, side, -(-size // side), ddl, np.int32 if small else np.int64)
     return cut_lineage(now)
 
 
@@ -108,11 +128,12 @@ def box_mass(table: DataFrame, boxes: DataFrame, d: int, h: int, w: int, side: i
     ]))
     corners = numbered.where(solid).select("_box", *TARGET, corner.alias("c")).select("_box", *TARGET, "c.*")
     corners = corners.where((F.col("z") >= 0) & (F.col("y") >= 0) & (F.col("x") >= 0))
+    # the corners are hashed, so the wide rows of the table needn't be sorted
     corners = corners.select(
         "_box", *TARGET, "sign", *[F.floor(F.col(a) / side).cast("int").alias(b) for b, a in zip(CUBE, "zyx")],
         (((F.col("z") % side) * side + F.col("y") % side) * side + F.col("x") % side + 1).cast("int").alias("_at"),
     )
-    found = corners.join(table, [*TARGET, *CUBE]).groupBy("_box").agg(F.sum(F.col("sign") * F.element_at("sums", F.col("_at"))).alias("mass"))
+    found = table.join(corners.hint("shuffle_hash"), [*TARGET, *CUBE]).groupBy("_box").agg(F.sum(F.col("sign") * F.element_at("sums", F.col("_at"))).alias("mass"))
     every = numbered.select("_box").distinct().join(found, "_box", "left")
     return every.select("_box.*", F.coalesce("mass", F.lit(0).cast("bigint")).alias("mass"))
 
