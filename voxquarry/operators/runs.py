@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 from .components import voxel_runs
 from .metrics import dice_of, iou_of
 from .voxels import SLICE, TARGET
@@ -36,7 +36,8 @@ def stored_runs(voxels: DataFrame) -> DataFrame:
 def _segments(a: DataFrame, b: DataFrame) -> DataFrame:
     """Stretches ``[x, next)`` of every image row between events, with how many runs of each mask cover them.
 
-    One shuffle by image row.  Runs may repeat or overlap.
+    One shuffle by image row, into tasks of bounded size: both tables are counted,
+    so pass stored ones.  Runs may repeat or overlap.
     """
 
     def events(runs: DataFrame, in_a: int, in_b: int) -> DataFrame:
@@ -47,7 +48,7 @@ def _segments(a: DataFrame, b: DataFrame) -> DataFrame:
         return runs.where(F.col("x0") <= F.col("x1")).select(*ROW, ends.alias("e")).select(*ROW, "e.*")
 
     # the two ends of a row that meet in one place are one event
-    every = events(a, 1, 0).unionByName(events(b, 0, 1)).repartition(*ROW)
+    every = spread_rows(events(a, 1, 0).unionByName(events(b, 0, 1)), 2 * (a.count() + b.count()), *ROW)
     every = every.groupBy(*ROW, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     row = Window.partitionBy(*ROW).orderBy("x")
     return every.select(
