@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread_rows
 from .voxels import SLICE, VOXEL
 
 TILE = 256  # side of a tile when distances are limited
@@ -27,17 +28,17 @@ def distance_map(mask: DataFrame, limit: int | None = None, tile: int = TILE) ->
     Without a ``limit`` a slice of a mask is one piece.  With one, distances
     above it stand as ``limit + 1`` and slices are cut into tiles with a halo
     of ``limit`` voxels, so no piece depends on the size of the frame.  Either
-    way rows are shuffled once.  Repeated voxels count once.
+    way rows are shuffled once, into tasks of bounded size (the mask is counted
+    first: pass a stored one).  Repeated voxels count once.
     """
-    piece = [*SLICE, "_ty", "_tx"]
+    piece = SLICE if limit is None else [*SLICE, "_ty", "_tx"]
     df = mask.select(*VOXEL)
-    if limit is None:
-        df = df.withColumns({"_ty": F.lit(0), "_tx": F.lit(0)})
-    else:
+    if limit is not None:
         if not 0 < limit <= tile:
             raise ValueError("the limit is between 1 and the side of a tile")
         df = df.withColumn("_ty", F.explode(_tiles("y", limit, tile))).withColumn("_tx", F.explode(_tiles("x", limit, tile)))
-    df = df.repartition(*piece).dropDuplicates([*piece, "y", "x"])
+    copies = 1 if limit is None else (1 + 2 * limit / tile) ** 2  # of a voxel, in the halos of tiles
+    df = spread_rows(df, int(mask.count() * copies), *piece).dropDuplicates([*piece, "y", "x"])
 
     def sweep(df: DataFrame, line: str, along: str, near: Column, out: str) -> DataFrame:
         """``out``: the least of ``near + steps`` over a line's stretch of voxels, one step beyond its ends being outside."""
