@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm, value_range
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from .voxels import TARGET
 
 EXTENT = ["z_min", "z_max", "y_min", "x_min", "y_max", "x_max"]
@@ -28,7 +28,7 @@ def prompt_bank(targets: DataFrame, voxels: DataFrame, d: int, h: int, w: int, n
         fn = F.min if e.endswith("min") else F.max
         aggs.append((fn(e[0]).cast("double") / F.lit(float(size[e[0]]))).alias(e))
     extent = voxels.groupBy(*TARGET).agg(*aggs)
-    return targets.join(extent, TARGET, "left").withColumns(
+    return targets.join(shuffled(extent), TARGET, "left").withColumns(
         {
             "gt_voxels": F.coalesce("gt_voxels", F.lit(0).cast("bigint")),
             **{e: F.coalesce(e, F.lit(-1.0)) for e in EXTENT},
@@ -60,7 +60,7 @@ def _candidates(bank: DataFrame) -> DataFrame:
 def _pick(queries: DataFrame, shortlist: DataFrame, keys: list[str], k: int) -> DataFrame:
     """First k shortlisted rows of another case for every query target."""
     hits = queries.join(
-        shortlist.withColumnsRenamed({"case_id": "m_case_id", "mask_id": "m_mask_id", "pos": "m_pos"}), keys
+        shuffled(shortlist.withColumnsRenamed({"case_id": "m_case_id", "mask_id": "m_mask_id", "pos": "m_pos"})), keys
     ).where(F.col("case_id") != F.col("m_case_id"))
     w = Window.partitionBy(*TARGET).orderBy(F.col("score").desc(), "m_case_id", "m_pos")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -152,7 +152,7 @@ def prior_blend(packets: DataFrame, prior: DataFrame, min_score: float = 3.0) ->
     p = prior.select(*TARGET, "score", *[F.col(e).alias(f"r_{e}") for e in EXTENT])
     alpha = F.least(F.lit(0.9), F.greatest(F.lit(0.3), F.col("score") / F.lit(10.0)))
     usable = F.col("score").isNotNull() & (F.col("score") >= min_score) & F.col("r_z_min").isNotNull()
-    return packets.join(p, TARGET, "left").withColumns(
+    return packets.join(shuffled(p), TARGET, "left").withColumns(
         {
             e: F.when(
                 usable, alpha * F.col(f"r_{e}") + (F.lit(1.0) - alpha) * F.col(f"atlas_{e}")

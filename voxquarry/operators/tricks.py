@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffled
 from . import boxes as bx
 from . import components as cc
 from . import thresholds as th
@@ -17,7 +18,7 @@ TRICKS = {"adaptive_margin", "ensemble", "otsu", "erosion", "confidence_gate", "
 
 def inside_box(prob: DataFrame, boxes: DataFrame, keys: list[str] = SLICE) -> DataFrame:
     """Probability pixels inside the box of their slice (far side exclusive)."""
-    j = prob.join(boxes, keys)
+    j = prob.join(shuffled(boxes), keys)
     return j.where(
         (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
     ).drop("x1", "y1", "x2", "y2")

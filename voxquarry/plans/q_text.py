@@ -10,7 +10,7 @@ from ..operators import boxes as bx
 from ..operators import prompts as pr
 from ..operators import retrieval as rt
 from ..operators import tfidf as tf
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from .fixtures import D, H, STOP_WORDS, W
 from .registry import query, rounded
 
@@ -244,7 +244,7 @@ SLOT_TOP = f"""{PACKET}, {BANK}, be AS (SELECT p.*, b.gt_voxels, {', '.join('b.'
 
 def slot_hits(d):
     p = cut_lineage(packets(d))  # texts are parsed once; later filters on slots stay cheap
-    bank = p.join(bank_of(d).select(*T, "gt_voxels", *EXT), T)
+    bank = p.join(shuffled(bank_of(d).select(*T, "gt_voxels", *EXT)), T)
     return p, rt.slot_topk(p, bank)
 
 
