@@ -280,11 +280,14 @@ def group_overlaps(tok: np.ndarray, q: np.ndarray, g: np.ndarray, kq: np.ndarray
     return held
 
 
-def matching(parts: DataFrame, hot_groups: int) -> tuple[DataFrame, DataFrame]:
-    """Stored ``(q, g, c)`` shared tokens of groups of copies, and ``(q, hot)``, summed over ranges."""
+def matching(parts: DataFrame, hot_groups: int, keys: int) -> tuple[DataFrame, DataFrame]:
+    """Stored ``(q, g, c)`` shared tokens of groups of copies, and ``(q, hot)``, summed over ranges.
+
+    ``parts`` come from ``matrix`` with as many ``keys``; groups go by the first, or by the digest.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        tok, (q,) = _unpack(table.column("part").to_pylist(), 1)
+        tok, (q, *_) = _unpack(table.column("part").to_pylist(), max(keys, 1))
         (q, g, c), (hq, hc) = overlaps(tok, q, hot_groups)
         kind = pa.array(np.r_[np.zeros(len(q), bool), np.ones(len(hq), bool)])
         return pa.table([kind, pa.array(np.r_[q, hq]), pa.array(np.r_[g, np.zeros(len(hq), np.int64)]), pa.array(np.r_[c, hc])], names=["hot", "q", "g", "c"])
@@ -447,7 +450,7 @@ def similar_documents(
 
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // RANGE_BYTES))
-    found, hot = matching(matrix(rows.where("id IS NOT NULL"), ranges, share, shingle, 0), hot_groups)
+    found, hot = matching(matrix(rows.where("id IS NOT NULL"), ranges, share, shingle, 0), hot_groups, 0)
     by_digest = classes.select("d1", "rep", "n")
 
     def side(name: str, key: str) -> DataFrame:
