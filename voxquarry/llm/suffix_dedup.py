@@ -10,7 +10,9 @@ by its anchor, the k-gram of lowest hash inside (equal windows have equal
 anchors).  Anchors are dealt out by hash range; those of one document only
 drop out.  For the rest, windows with a common anchor occurrence travel as one
 stretch of text.  Equal stretches settle all their windows in one comparison;
-only stretches that differ under one anchor are sorted window by window.
+only stretches that differ under one anchor are sorted window by window, and
+of both only those whose hash another document holds too: under a frequent
+anchor most differ.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ from .tokens import POWERS, VALUES, each, mix
 
 _U = np.uint64
 GRAM = 20  # bytes of an anchor
-BLOCK = 1 << 20  # bytes keyed at once
-RANGE_BYTES = 5 << 20  # text bytes per range of anchors
-WINDOWS = 1 << 18  # windows sorted at once, more only under a single anchor
+BLOCK = 1 << 17  # bytes keyed at once, few enough for a core's cache
+CODES_BYTES = 24 << 20  # text bytes per range of anchors while only their hashes travel
+RANGE_BYTES = 5 << 20  # the same for stretches
+HELD = 1 << 19  # anchors a task gathers before it deals them out
+HELD_BYTES = 8 << 20  # stretches the same, in bytes
+WINDOWS = 1 << 18  # windows hashed at once, more only of one distance to a single anchor
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -86,12 +91,26 @@ class Suffixes:
         return out
 
     def sort(self, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes inside their groups; ``group`` is sorted."""
+        """Order of the suffixes inside their groups; ``group`` is sorted.
+
+        Suffixes of one hash go through the merges as one, and groups are
+        parted by their first bytes before.
+        """
         n = len(group)
-        order = np.arange(n)
         if not n:
-            return order
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            return np.arange(0)
+        alike = np.lexsort((self.whole, self.size, self.word, group))
+        part = starts(group[alike], self.word[alike])
+        first = np.flatnonzero(part | starts(self.size[alike], self.whole[alike]))
+        order = self.merge(alike[first], np.cumsum(part)[first])
+        count = np.diff(np.r_[first, n])[order]
+        return alike[np.arange(n) + np.repeat(first[order] - np.cumsum(count) + count, count)]
+
+    def merge(self, item: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Order of the suffixes ``item`` inside their groups, by mergesort."""
+        n = len(group)
+        order = np.arange(n)
+        first = np.flatnonzero(starts(group))
         count = np.diff(np.r_[first, n])
         base, length = np.repeat(first, count), np.repeat(count, count)
         width = 1
@@ -106,7 +125,7 @@ class Suffixes:
             open_ = np.flatnonzero(lo < hi)
             while len(open_):
                 mid = (lo[open_] + hi[open_]) // 2
-                other, own = order[mid], order[at[open_]]
+                other, own = item[order[mid]], item[order[at[open_]]]
                 # elements of the right run go behind equal ones of the left
                 before = np.where(left[open_], self.less(other, own, False), False)
                 right = np.flatnonzero(~left[open_])
@@ -152,6 +171,25 @@ class Suffixes:
         return np.cumsum(np.r_[False, ~equal]) if n else np.zeros(0, np.int64)
 
 
+def starts(*cols: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
+def recurring(group: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the suffixes whose hash (or one that meets it) several documents hold in the group."""
+    key = mix(whole + mix(group.astype(np.uint64)))
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    same, other = key[1:] == key[:-1], doc[1:] != doc[:-1]
+    run = np.cumsum(np.r_[False, ~same]) if len(key) else key.astype(np.int64)
+    several = np.zeros(len(key), bool)
+    several[run[1:][same & other]] = True
+    return np.sort(order[several[run]])
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` neighbours."""
     n = len(x)
@@ -248,39 +286,50 @@ def _split(keys: np.ndarray) -> list[tuple[int, int]]:
 def shared_anchors(rows: DataFrame, span: int, ranges: int) -> DataFrame:
     """``(id, codes)``: for each document (several rows each) its anchors that stand in another document too.
 
-    An anchor that several texts of one block hold is settled for them on the
-    spot, and the block sends it once, so a range gets a row per block of even
-    the most frequent anchor.
+    An anchor that several texts gathered by a task hold is settled for them on
+    the spot, and sent once.  A range gets a row for each ``HELD`` anchors
+    gathered, so rows grow with the input although ranges do too.
     """
 
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        code, doc = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, code))
+        code, doc = code[order], doc[order]
+        once = np.flatnonzero(starts(code, doc))
+        code, doc = code[once], doc[once]
+        lead = starts(code)
+        many = ~lead | np.r_[~lead[1:], False] if len(code) else lead
+        r, kind, parts = [], [], []
+        own = np.argsort(doc[many], kind="stable")
+        c, d = code[many][own], doc[many][own]
+        for i, j in _split(d):
+            r.append(int(abs(d[i]) % ranges))
+            kind.append(1)
+            parts.append(_pack(d[i:j].astype("<i8"), c[i:j].astype("<i8")))
+        code, doc = code[lead], doc[lead]
+        order = np.lexsort((doc, code >> 32))
+        code, doc = code[order], doc[order]
+        for i, j in _split(code >> 32):
+            r.append(int(code[i] >> 32))
+            kind.append(0)
+            cut = np.flatnonzero(starts(doc[i:j]))
+            count = np.diff(np.r_[cut, j - i])
+            parts.append(_pack(doc[i:j][cut].astype("<i8"), count.astype("<u4")) + (code[i:j] & 0xFFFFFFFF).astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int8()), pa.array(parts, pa.binary())], names=["r", "kind", "part"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for a, b, texts in _blocks(batch.column(1)):
                 ids = np.asarray(batch.column(0).slice(a, b - a))
                 w = Stretches(texts, span, ranges)
-                order = np.lexsort((ids[w.doc], w.code))
-                code, doc = w.code[order], ids[w.doc][order]
-                once = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
-                code, doc = code[once], doc[once]
-                lead = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
-                many = ~lead | np.r_[~lead[1:], False] if len(code) else lead
-                r, kind, parts = [], [], []
-                own = np.argsort(doc[many], kind="stable")
-                c, d = code[many][own], doc[many][own]
-                for i, j in _split(d):
-                    r.append(int(abs(d[i]) % ranges))
-                    kind.append(1)
-                    parts.append(_pack(d[i:j].astype("<i8"), c[i:j].astype("<i8")))
-                code, doc = code[lead], doc[lead]
-                order = np.lexsort((doc, code >> 32))
-                code, doc = code[order], doc[order]
-                for i, j in _split(code >> 32):
-                    r.append(int(code[i] >> 32))
-                    kind.append(0)
-                    cut = np.array([x for x, _ in _split(doc[i:j])])
-                    count = np.diff(np.r_[cut, j - i])
-                    parts.append(_pack(doc[i:j][cut].astype("<i8"), count.astype("<u4")) + (code[i:j] & 0xFFFFFFFF).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int8()), pa.array(parts, pa.binary())], names=["r", "kind", "part"])
+                held.append((w.code, ids[w.doc]))
+                n += len(w.code)
+                if n >= HELD:
+                    yield deal(held)
+                    held, n = [], 0
+        if held:
+            yield deal(held)
 
     def meet(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
@@ -312,46 +361,64 @@ def shared_anchors(rows: DataFrame, span: int, ranges: int) -> DataFrame:
     return sent.groupBy("r").applyInArrow(meet, "id bigint, codes binary")
 
 
-def repeated(rows: DataFrame, span: int, ranges: int) -> DataFrame:
-    """``(id, tag, spans)``: stretches of windows that stand in a smaller document, packed, several rows each."""
+def repeated(rows: DataFrame, span: int, known_in: int, ranges: int) -> DataFrame:
+    """``(id, tag, spans)``: stretches of windows that stand in a smaller document, packed, several rows each.
+
+    The codes of ``rows`` are of ``known_in`` ranges; stretches are dealt to ``ranges``.
+    """
+
+    def deal(held: list[tuple]) -> pa.RecordBatch:
+        cut = [text for part in held for text in part[0]]
+        ids, tags, start, last, lead, code = (np.concatenate(x) for x in list(zip(*held))[1:])
+        # equal stretches gathered together: only those of the smallest document travel
+        own = ids.tolist()
+        low: dict[bytes, int] = {}
+        for text, d in zip(cut, own):
+            if low.setdefault(text, d) > d:
+                low[text] = d
+        later = np.array([d > low[text] for text, d in zip(cut, own)], bool)
+        r, kind, parts = [], [], []
+        done = np.flatnonzero(later)
+        done = done[np.lexsort((tags[done], ids[done]))]
+        edge = np.r_[np.flatnonzero(starts(ids[done], tags[done])), len(done)].tolist()
+        for i, j in zip(edge, edge[1:]):
+            d, of = done[i], done[i:j]
+            r.append(int(abs(ids[d]) % ranges))
+            kind.append(1)
+            parts.append(np.array([ids[d], tags[d]], "<i8").tobytes() + np.stack([start[of], last[of] + span], axis=1).astype("<i8").tobytes())
+        sent = np.flatnonzero(~later)
+        to = (mix(code[sent].astype(np.uint64)) % _U(ranges)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        sent, to = sent[order], to[order]
+        for i, j in _split(to):
+            of = sent[i:j]
+            r.append(int(to[i]))
+            kind.append(0)
+            spans = b"".join([cut[x] for x in of.tolist()])
+            parts.append(
+                _pack(ids[of].astype("<i8"), tags[of].astype("<i8"), start[of].astype("<i8"), (last[of] - start[of]).astype("<u1"), lead[of].astype("<u1"), (code[of] & 0xFFFFFFFF).astype("<u4")) + spans
+            )
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int8()), pa.array(parts, pa.binary())], names=["r", "kind", "part"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for a, b, texts in _blocks(batch.column(3)):
                 ids, tags = np.asarray(batch.column(0).slice(a, b - a)), np.asarray(batch.column(1).slice(a, b - a))
                 known = [np.frombuffer(b"".join(x), "<i8") for x in batch.column(2).slice(a, b - a).to_pylist()]
-                w = Stretches(texts, span, ranges)
-                keep = np.zeros(len(w.doc), bool)
-                for (i, j) in _split(w.doc):
-                    keep[i:j] = np.isin(w.code[i:j], known[w.doc[i]])
-                doc, start, last, lead, code = w.doc[keep], w.start[keep], w.last[keep], w.lead[keep], w.code[keep]
-                # equal stretches in one block: only those of the smallest document travel
-                own = ids[doc].tolist()
+                w = Stretches(texts, span, known_in)
+                of = np.repeat(np.arange(len(known)), [len(x) for x in known])
+                # hashes of code and document that meet let a stretch through for nothing
+                keep = np.isin(mix(w.code.astype(np.uint64) + mix(w.doc.astype(np.uint64))), mix(np.concatenate(known).astype(np.uint64) + mix(of.astype(np.uint64))))
+                doc, start, last = w.doc[keep], w.start[keep], w.last[keep]
                 cut = [texts[d][x : y + span] for d, x, y in zip(doc.tolist(), start.tolist(), last.tolist())]
-                low: dict[bytes, int] = {}
-                for text, d in zip(cut, own):
-                    if low.setdefault(text, d) > d:
-                        low[text] = d
-                done = [i for i, text in enumerate(cut) if own[i] > low[text]]
-                sent = [i for i, text in enumerate(cut) if own[i] == low[text]]
-                r, kind, parts = [], [], []
-                done = np.array(sorted(done, key=doc.__getitem__), np.int64)
-                for i, j in _split(doc[done]):
-                    d, of = doc[done[i]], done[i:j]
-                    r.append(int(abs(ids[d]) % ranges))
-                    kind.append(1)
-                    parts.append(np.array([ids[d], tags[d]], "<i8").tobytes() + np.stack([start[of], last[of] + span], axis=1).astype("<i8").tobytes())
-                sent = np.array(sent, np.int64)
-                sent = sent[np.argsort(code[sent] >> 32, kind="stable")]
-                for i, j in _split(code[sent] >> 32):
-                    of = sent[i:j]
-                    r.append(int(code[of[0]] >> 32))
-                    kind.append(0)
-                    spans = b"".join([cut[x] for x in of.tolist()])
-                    parts.append(
-                        _pack(ids[doc[of]].astype("<i8"), tags[doc[of]].astype("<i8"), start[of].astype("<i8"), (last[of] - start[of]).astype("<u1"), lead[of].astype("<u1"), (code[of] & 0xFFFFFFFF).astype("<u4")) + spans
-                    )
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int8()), pa.array(parts, pa.binary())], names=["r", "kind", "part"])
+                held.append((cut, ids[doc], tags[doc], start, last, w.lead[keep], w.code[keep]))
+                size += int((last - start).sum()) + span * len(doc)
+                if size >= HELD_BYTES:
+                    yield deal(held)
+                    held, size = [], 0
+        if held:
+            yield deal(held)
 
     def meet(table: pa.Table) -> pa.Table:
         ids, tags, out, cols, texts = [], [], [], [], []
@@ -394,56 +461,86 @@ def dup_windows(
     """
     size = more + span
     pos = np.cumsum(size) - size
+    sums, down = prefix_hash(buf), POWERS.upto(len(buf) + 1)[1]
     kind = (code << 16) | (lead << 8) | more
-    order = np.argsort(kind, kind="stable")
-    s = Suffixes(buf, pos[order], size[order])
-    group = np.cumsum(np.r_[False, kind[order][1:] != kind[order][:-1]])
+    # a stretch that no other document may hold needs no place among the others
+    some = recurring(kind, (sums[pos + size] - sums[pos]) * down[pos], doc)
+    some = some[np.argsort(kind[some], kind="stable")]
+    s = Suffixes(buf, pos[some], size[some], sums)
+    group = np.cumsum(starts(kind[some]))
     place = s.sort(group)
     run = s.equal_runs(place, group)
-    item = order[place]  # stretches in sorted order
-    heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    later = doc[item] > np.minimum.reduceat(doc[item], heads)[run]
+    item = some[place]  # stretches in sorted order
+    heads = np.flatnonzero(starts(run))
+    later = doc[item] > np.minimum.reduceat(doc[item], heads)[run] if len(item) else np.zeros(0, bool)
     whole = item[later]
     # what is left of each run goes on window by window, where its code has several runs
-    codes = np.cumsum(np.r_[False, code[item][1:] != code[item][:-1]])
-    variants = np.bincount(codes[heads])
-    rest = item[np.flatnonzero(~later & (variants[codes] > 1))]
+    alone = np.ones(len(doc), bool)
+    alone[some] = False
+    order = np.argsort(code, kind="stable")
+    number = np.empty(len(code), np.int64)
+    number[order] = np.cumsum(starts(code[order])) - 1
+    variants = np.bincount(np.r_[number[item[heads]], number[alone]], minlength=len(code))
+    open_ = variants[number] > 1
+    open_[whole] = False
+    rest = order[open_[order]]
     many = np.cumsum(more[rest] + 1)
     found = [(whole, np.zeros(len(whole), np.int64), size[whole])]
     cut = 0
     while cut < len(rest):
         end = int(np.searchsorted(many, (many[cut - 1] if cut else 0) + WINDOWS, side="right"))
-        end = max(end, cut + 1)
-        while end < len(rest) and code[rest[end]] == code[rest[end - 1]]:
-            end += 1
-        found.append(_windows(rest[cut:end], doc, buf, pos, more, lead, code, span, s.sums))
+        over = code[rest[cut]] == code[rest[min(end, len(rest) - 1)]] and end < len(rest)
+        if over:  # one code alone goes on by distance to the anchor
+            end = cut + int(np.searchsorted(code[rest[cut:]], code[rest[cut]], side="right"))
+        else:  # whole codes
+            end = end if end == len(rest) else cut + int(np.searchsorted(code[rest[cut:end]], code[rest[end]]))
+        found.append(_windows(rest[cut:end], doc, buf, pos, more, lead, code, span, sums, over))
         cut = end
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _windows(rest, doc, buf, pos, more, lead, code, span: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(rest, doc, buf, pos, more, lead, code, span: int, sums: np.ndarray, by_distance: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for the windows of stretches ``rest``, whole codes at a time."""
-    n = more[rest] + 1
-    which = np.repeat(np.arange(len(rest)), n)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    kind = (code[rest][which] << 8) | (lead[rest][which] - step)
-    order = np.argsort(kind, kind="stable")
-    which, step, kind = which[order], step[order], kind[order]
-    group = np.cumsum(np.r_[False, kind[1:] != kind[:-1]])
-    win = Suffixes(buf, pos[rest][which] + step, np.full(len(which), span, np.int64), sums)
-    at = win.sort(group)
-    run = win.equal_runs(at, group)
-    d = doc[rest][which][at]
-    low = np.minimum.reduceat(d, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
-    hit = at[d > low[run]]
-    hit = hit[np.lexsort((step[hit], which[hit]))]
+    which, step = [], []
+    if by_distance:
+        for distance in range(int((lead[rest] - more[rest]).min()), int(lead[rest].max()) + 1):
+            own = np.flatnonzero((lead[rest] >= distance) & (lead[rest] - more[rest] <= distance))
+            some = _later(rest, own, lead[rest[own]] - distance, doc, buf, pos, lead, code, span, sums)
+            which.append(some[0])
+            step.append(some[1])
+    else:
+        n = more[rest] + 1
+        own = np.repeat(np.arange(len(rest)), n)
+        some = _later(rest, own, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), doc, buf, pos, lead, code, span, sums)
+        which.append(some[0])
+        step.append(some[1])
+    w, x = np.concatenate(which), np.concatenate(step)
+    order = np.lexsort((x, w))
+    w, x = w[order], x[order]
     # windows next to each other are one stretch of bytes
-    w, x = which[hit], step[hit]
-    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1] + 1)]) if len(hit) else hit
-    end = np.r_[first[1:], len(hit)] - 1 if len(hit) else hit
+    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1] + 1)]) if len(w) else w
+    end = np.r_[first[1:], len(w)] - 1 if len(w) else w
     return rest[w[first]], x[first], x[end] + span
 
 
+def _later(rest, which, step, doc, buf, pos, lead, code, span: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows ``step`` of the stretches ``rest[which]`` those that a smaller document holds at the same distance to the anchor."""
+    at = pos[rest[which]] + step
+    kind = (code[rest[which]] << 8) | (lead[rest[which]] - step)
+    some = recurring(kind, (sums[at + span] - sums[at]) * POWERS.upto(len(buf) + 1)[1][at], doc[rest[which]])
+    some = some[np.argsort(kind[some], kind="stable")]
+    if not len(some):
+        return which[some], step[some]
+    win = Suffixes(buf, at[some], np.full(len(some), span, np.int64), sums)
+    group = np.cumsum(starts(kind[some]))
+    place = win.sort(group)
+    run = win.equal_runs(place, group)
+    d = doc[rest[which[some]]][place]
+    low = np.minimum.reduceat(d, np.flatnonzero(starts(run)))
+    hit = some[place[d > low[run]]]
+    return which[hit], step[hit]
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
     """Bytes of each text that stand, ``span`` at a time, in a document of smaller id are removed.
 
@@ -469,13 +566,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = named.withColumn("digest", F.sha2("text", 256))
     own = without(own, copies.select(F.struct("id", "digest").alias("gone")), F.struct("id", "digest")).select("id", "text")
     bytes_ = facts.agg(F.sum("bytes")).first()[0] or 0
-    ranges = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // RANGE_BYTES))
-    codes = cut_lineage(shared_anchors(own, span, ranges))
+    few = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known_in, ranges = max(few, -(-bytes_ // CODES_BYTES)), max(few, -(-bytes_ // RANGE_BYTES))
+    codes = cut_lineage(shared_anchors(own, span, known_in))
     listed = codes.groupBy("id").agg(F.collect_list("codes").alias("codes"))
     ids = cut_lineage(codes.select("id").distinct())
     texts = fetch(own, ids).withColumn("tag", F.xxhash64("text"))
     asked = texts.join(listed, "id").select("id", "tag", "codes", "text")
-    found = cut_lineage(repeated(asked, span, ranges))
+    found = cut_lineage(repeated(asked, span, known_in, ranges))
     spans = found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
     hit = cut_lineage(found.select("id").distinct())
     texts = fetch(own, hit).withColumn("tag", F.xxhash64("text")).join(spans, ["id", "tag"]).select("id", "tag", "spans", "text")
