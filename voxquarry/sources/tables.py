@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.voxels import TARGET
@@ -103,12 +103,20 @@ def aux_body() -> Column:
 
 
 def aux_to_json(aux: DataFrame) -> DataFrame:
-    """Auxiliary labels -> one JSON object per target, keyed by mask id."""
-    body = aux_body()
-    return aux.select("case_id", F.to_json(F.create_map(F.col("mask_id").cast("string"), body)).alias("json"))
+    """Auxiliary labels -> one JSON object per case, keyed by mask id in ascending order.
+
+    An object has each key once: rows that repeat a target go to further
+    objects of their case.
+    """
+    copy = F.row_number().over(Window.partitionBy(*TARGET).orderBy("mask_id"))
+    rows = aux.select("case_id", "mask_id", aux_body().alias("body"), copy.alias("copy"))
+    per_case = rows.groupBy("case_id", "copy").agg(F.sort_array(F.collect_list(F.struct("mask_id", "body"))).alias("es"))
+    entries = F.transform("es", lambda e: F.struct(e["mask_id"].cast("string"), e["body"]))
+    return per_case.select("case_id", F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
 def aux_from_json(docs: DataFrame, json: str = "json") -> DataFrame:
+    """Inverse of ``aux_to_json``: one row per case and mask id."""
     rows = docs.select("case_id", F.explode(F.from_json(F.col(json), AUX_SCHEMA)).alias("mask", "a"))
 
     def item(field: str, names: list[str]) -> list[Column]:
